@@ -8,7 +8,7 @@ The template marks turns with control strings; control strings inside roles and
 One row per turn goes in, one formatted piece per turn comes out, without a shuffle; a conversation is its pieces in
 order, so that one holding a third of all rows is never one string or one task's memory.
 
-Defined results: null role or text is empty; rows of equal (conv_id, turn) are ordered by role, then text; a null
+Defined results: null role or text is empty; a null turn comes first; rows of equal (conv_id, turn) are ordered by role, then text; a null
 conv_id is a conversation of its own; an empty table gives no rows; unknown part types raise ValueError.
 """
 
@@ -189,3 +189,15 @@ def op3_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", nasty), (-1, 1, "assistant", nasty)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     return read_back(format_turns(turns.unionByName(more)))
+
+
+_TURN_SQL = r"""regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g')"""
+_ROLE_SQL = r"""regexp_replace(replace(replace(coalesce(role, ''), '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g')"""
+OP3_SQL = f"""WITH turns AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  SELECT -1, 0, 'user', '{END}{START}assistant ok' UNION ALL SELECT -1, 1, 'assistant', '{END}{START}assistant ok')
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(coalesce(text, ''), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum({len(START) + len(END) + 2} + length({_ROLE_SQL}) + length({_TURN_SQL}))::BIGINT AS formatted_chars,
+  0::BIGINT AS expanded_tokens FROM turns GROUP BY conv_id"""

@@ -126,6 +126,9 @@ _BRACKET_AT = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:{_AT_WORD}|@)[ \t]*[\])}}>][
 #: A bare "at" counts only before a domain with a disguised dot; " @ " with blanks before any domain.
 _SPACED_AT = re.compile(rf"[ \t]+{_AT_WORD}[ \t]+(?=[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*(?:{_DOT})[A-Za-z0-9-])|[ \t]+@[ \t]*(?=[A-Za-z0-9-]+(?:{_DOT}|\.)[A-Za-z0-9-])|(?<=[A-Za-z0-9])@[ \t]+(?=[A-Za-z0-9-]+(?:{_DOT}|\.)[A-Za-z0-9-])", re.I)
 _DOTS = re.compile(_DOT, re.I)
+#: An address with bare "at" must end in a country's two letters or one of the common domains.
+_BARE = re.compile(rf"[ \t]{_AT_WORD}[ \t]", re.I)
+_TLD = re.compile("[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|dev|app|test|example|invalid|local", re.I)
 _HAS_LOOK_ALIKE = re.compile("[" + re.escape("".join(LOOK_ALIKES)) + "]")
 _WORD_HINT = re.compile(rf"[\[({{< \t]{_DOT_WORD}[\])}}> \t]|[\[({{<][ \t]*(?:{_AT_WORD}|@|\.)[ \t]*[\])}}>]|[ \t]@|@[ \t]", re.I)
 
@@ -251,6 +254,8 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
         if now.touched(a, b):
             s, e = now.back(a, b)
             met = [x for x in base if x[1] == k and x[0] < e and s < x[2]]
+            if k == 0 and _BARE.search(text, s, e) and not _TLD.fullmatch(now.text[a:b].rpartition(".")[2]):
+                continue  # "look at the dot one day"
             # a plain identifier stays as it is; only an address may have more of its name before it
             if not met or (k == 0 and s < met[0][0] and e == met[-1][2]):
                 more.add((s, k, e))
