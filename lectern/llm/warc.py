@@ -258,7 +258,8 @@ def read_bundles(index: DataFrame, with_payload: bool = False) -> DataFrame:
                 bundle.close()
         yield flush()
 
-    return index.select("bundle").distinct().mapInArrow(run, READ)
+    bundles = index.select("bundle").distinct()
+    return bundles.repartition(max(1, bundles.count())).mapInArrow(run, READ)  # else few rows would be few tasks
 
 
 def lookup(index: DataFrame, page_id: int) -> list[dict]:
