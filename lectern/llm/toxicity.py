@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 #: The sample: at most so many texts of each class (the least hashes of doc_id), and so many words of all together.
-TRAIN_DOCS, TRAIN_WORDS = 2500, 6_000_000
+TRAIN_DOCS, TRAIN_WORDS = 2500, 2_500_000
 BUCKETS, DIM, WINDOW, ROUNDS, RATE, THRESHOLD = 1 << 17, 8, 3, 60, 0.1, 0.3
 _WORD = re.compile(r"[^\W_]+")
 
@@ -61,17 +62,27 @@ def _windows(n: int) -> np.ndarray:
 def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     """Joint training by full-batch Adam of embeddings (BUCKETS x DIM) and the softmax's direction and bias."""
     vocab: dict[str, int] = {}
-    seqs = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in words_of(t)), np.int64) for t in texts]
+    seqs = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in words_of(t)), np.int32) for t in texts]
     y = np.array([t for t, s in zip(toxic, seqs, strict=True) if len(s)], np.float64)
     seqs = [s for s in seqs if len(s)]
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), -50.0)
-    bags = [bag(w) for w in vocab]
-    grams_of = np.concatenate([np.array(b) for b in bags])
-    n_grams = np.array([len(b) for b in bags])
-    word_at = np.concatenate([[0], np.cumsum(n_grams)[:-1]])
-    word_of_gram = np.repeat(np.arange(len(bags)), n_grams)
-    used, grams_of = np.unique(grams_of, return_inverse=True)
+    flat, sizes = array("i"), array("i")  # 4 bytes a gram; lists of numbers would take ten times that
+    for w in vocab:
+        b = bag(w)
+        flat.extend(b)
+        sizes.append(len(b))
+    grams_of, n_grams, n_words = np.frombuffer(flat, np.int32), np.frombuffer(sizes, np.int32), len(vocab)
+    del vocab
+    word_at = np.concatenate([[0], np.cumsum(n_grams, dtype=np.int64)])
+    blocks = [(a, min(a + 30_000, n_words)) for a in range(0, n_words, 30_000)]  # what a step makes of all grams is made in blocks
+    per_word = np.empty(n_words)
+    seen = np.zeros(BUCKETS, bool)
+    seen[grams_of] = True
+    used = np.flatnonzero(seen)
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    grams_of = place[grams_of]
     tokens = np.concatenate(seqs)
     doc_at = np.concatenate([[0], np.cumsum([len(s) for s in seqs])[:-1]])
     win_at = np.concatenate([a + _windows(len(s)) for a, s in zip(doc_at, seqs, strict=True)])
@@ -86,7 +97,8 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     for step in range(1, ROUNDS + 1):
         emb, u, b = params
         per_gram = emb @ u
-        per_word = np.add.reduceat(per_gram[grams_of], word_at)
+        for a, e in blocks:
+            per_word[a:e] = np.add.reduceat(per_gram[grams_of[word_at[a] : word_at[e]]], word_at[a:e] - word_at[a])
         z = np.add.reduceat(per_word[tokens], win_at) / size + b
         # smooth maximum over the windows of a text
         top = np.maximum.reduceat(z, win_doc_at)
@@ -95,8 +107,10 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
         logit = top + np.log(total)
         d_logit = weight * (1 / (1 + np.exp(-logit)) - y)
         d_z = np.repeat(d_logit / total, wins) * e
-        d_word = np.bincount(tokens, np.repeat(d_z / size, win_len), len(bags))
-        d_gram = np.bincount(grams_of, d_word[word_of_gram], len(used))
+        d_word = np.bincount(tokens, np.repeat(d_z / size, win_len), n_words)
+        d_gram = np.zeros(len(used))
+        for a, e in blocks:
+            d_gram += np.bincount(grams_of[word_at[a] : word_at[e]], np.repeat(d_word[a:e], n_grams[a:e]), len(used))
         grads = [d_gram[:, None] * u[None, :] + 1e-7 * emb, emb.T @ d_gram, d_z.sum()]
         for k, g in enumerate(grads):
             first[k] = 0.9 * first[k] + 0.1 * g
