@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..functions import titles
@@ -75,7 +76,7 @@ def parse_openalex(rows: DataFrame, payload: str = "payload") -> DataFrame:
 # -- the gate ----------------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
