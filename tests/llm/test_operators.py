@@ -7,7 +7,6 @@ import zlib
 
 import duckdb
 import numpy as np
-import pyarrow as pa
 import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
@@ -149,15 +148,12 @@ def test_pii_base_random():
         ("pаul@ехample.com", "email", "pаul@ехample.com"),
         ("ip １０.0.0.1 here", "ip", "１０.0.0.1"),
         ("ip ten dot? one nine two dot one six eight dot one dot one", "ip", "one nine two dot one six eight dot one dot one"),
-        ("card four one one one 1111 1111 1111 1111"[:-5], "card", "four one one one 1111 1111 1111"),
         ("call plus 49 30 one two three four five six seven ok", "phone", "plus 49 30 one two three four five six seven"),
         ("call +49 170 one two three four five six seven", "phone", "+49 170 one two three four five six seven"),
     ],
 )
 def test_pii_disguises(text, kind, span):
     base, spans = pii.find(text)
-    if kind == "card":
-        return  # its digits are beside the point unless they pass the check sum, below
     assert span in [text[a:b] for a, k, b in spans if pii.KINDS[k] == kind], [(text[a:b], k) for a, k, b in spans]
     assert set(base) <= set(spans)
 
@@ -230,7 +226,8 @@ def test_packing(spark, odd_dir):
 
 
 def test_differencing():
-    assert sorted(map(sorted, packing.differencing([8, 7, 6, 5, 4], 2))) == [[0, 1], [2, 3, 4]] or True
+    known = [8, 7, 6, 5, 4]  # the textbook case: differencing leaves 16 and 14
+    assert sorted(sum(known[k] for k in w) for w in packing.differencing(known, 2)) == [14, 16]
     r = np.random.default_rng(0)
     for m in (1, 2, 3, 7):
         sizes = r.integers(1, 100, 60).tolist()
@@ -462,4 +459,3 @@ def test_byte_bpe_higher_order(spark):
 
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
-    assert pa is not None
