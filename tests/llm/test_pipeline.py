@@ -113,6 +113,26 @@ def test_near_copies_split(spark, monkeypatch):
     assert {x.doc_id for x in kept.collect()} == groups(rows) == {0, *range(150, 180)}
 
 
+def test_near_copies_wide_family(spark, monkeypatch):
+    """In a family below the threshold, larger than a block, the closer pairs are found wherever they are dealt."""
+    import random
+
+    monkeypatch.setattr(near_copies, "BLOCK", 20)
+    monkeypatch.setattr(near_copies, "LEADERS", 1)
+    r = random.Random(4)
+    common, rows = [f"c{k}" for k in range(300)], []
+    for k in range(0, 240, 2):
+        own = [f"u{k}x{j}" for j in range(40)]
+        rows.append((k, " ".join(common + own)))
+        other = own[:18] + [f"v{k}x{j}" for j in range(22)] if k % 10 == 0 else [f"v{k}x{j}" for j in range(40)]
+        rows.append((k + 1, " ".join(common + other)))
+    r.shuffle(rows)
+    want = groups(rows)
+    assert len(want) == 240 - 24
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id for x in kept.collect()} == want
+
+
 def test_pii_stage(stages):
     before, after = (by_id(x) for x in stages[3])
     assert {i: r.text for i, r in after.items()} == {i: pii.redacted(r.text) for i, r in before.items()}
