@@ -133,6 +133,21 @@ def test_near_copies_wide_family(spark, monkeypatch):
     assert {x.doc_id for x in kept.collect()} == want
 
 
+def test_near_copies_long(spark, monkeypatch):
+    """Texts of thousands of shingles just below and just above the threshold; anchors are split by bytes too."""
+    rows = []
+    for k in range(0, 80, 2):
+        a = [f"w{k}x{j}" for j in range(2000)]
+        n = 2000 - 2000 * (2 * (0.795 + 0.01 * (k % 4 // 2))) / (1.795 + 0.01 * (k % 4 // 2))
+        rows += [(k, " ".join(a)), (k + 1, " ".join([*a[: 2000 - round(n)], *(f"y{k}x{j}" for j in range(round(n)))]))]
+    want = groups(rows)
+    assert len(want) == 60
+    for size in (near_copies.BYTES, 10_000):
+        monkeypatch.setattr(near_copies, "BYTES", size)
+        kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {x.doc_id for x in kept.collect()} == want
+
+
 def test_pii_stage(stages):
     before, after = (by_id(x) for x in stages[3])
     assert {i: r.text for i, r in after.items()} == {i: pii.redacted(r.text) for i, r in before.items()}
