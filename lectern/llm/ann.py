@@ -186,11 +186,12 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id",
         return spark.createDataFrame([], none)
     dim, n = sizes[0]
     fine = fine.where(F.size("v") == dim)
-    sample = fine.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
+    picked = fine.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).select("vec_id", "v").toArrow()
+    sample = picked.column(1).combine_chunks()
     x = _matrix(sample, dim)
     lists = train(x, max(1, min(MAX_LISTS, round(n / list_size), -(-len(sample) // 4))))
     if ratio is None:
-        ratio = calibrate(lists, x, k)
+        ratio = calibrate(lists, x[np.sort(np.unique(picked.column(0).to_numpy(), return_index=True)[1])], k)
     sent, kk = spark.sparkContext.broadcast(lists), len(lists.centroids)
 
     def place(how: str, ratio: float):
@@ -269,13 +270,17 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id",
 def _scan_block(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int, best: dict[int, list[tuple[float, int]]]) -> None:
     """Take the block's nearest into best: products pick candidates, differences in double precision decide."""
     v_norm = np.square(v).sum(1)
+    by_id = np.argsort(v_ids, kind="stable")
+    first = np.unique(v_ids[by_id], return_index=True)[1]
     for at in range(0, len(q), 128):
         ids, x = q_ids[at : at + 128], q[at : at + 128]
         norm = np.square(x).sum(1)
         rough = norm[:, None] + v_norm[None, :] - 2 * (x @ v.T)
         rough[v_ids[None, :] == ids[:, None]] = np.inf
         slack = 1e-9 * (norm[:, None] + v_norm.max())
-        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(x), np.inf)
+        # a vec_id counts once, by its nearest row
+        once = rough if len(first) == len(v_ids) else np.minimum.reduceat(rough[:, by_id], first, axis=1)
+        limit = np.partition(once, k - 1, axis=1)[:, k - 1] if once.shape[1] > k else np.full(len(x), np.inf)
         held = np.array([best[i][k - 1][0] ** 2 if len(best.get(i, ())) >= k else np.inf for i in ids.tolist()])
         rows, cols = np.nonzero((rough <= np.minimum(limit, held)[:, None] + slack) & np.isfinite(rough))
         for a in range(0, len(rows), 1 << 14):

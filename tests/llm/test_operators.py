@@ -434,6 +434,25 @@ def test_nearest_many_lists(spark):
         assert np.mean([len(got[q * 100] & set(want[q].tolist())) / 10 for q in range(30)]) >= least
 
 
+def test_nearest_repeated(spark):
+    """A vec_id repeated 50 times near every query, and a table with all rows doubled: still the 10 nearest ids."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(8)
+    x = r.normal(0, 1, (400, 8))
+    x[1] = x[::100].mean(0)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    schema = "vec_id long, embedding array<double>"
+    d = np.sqrt(np.square(x[::100, None, :] - x[None]).sum(2))
+    d[np.arange(4), np.arange(0, 400, 100)] = np.inf
+    want = {q * 100: np.argsort(d[q], kind="stable")[:10].tolist() for q in range(4)}
+    for table in (rows + [rows[1]] * 49 + [rows[want[0][0]]] * 49, rows + rows):
+        got = {}
+        for row in ann.nearest(spark.createDataFrame(table, schema), F.col("vec_id") % 100 == 0, ratio=float("inf")).orderBy("query_id", "rank").collect():
+            got.setdefault(row.query_id, []).append(row.vec_id)
+        assert got == want
+
+
 # -- 10 ----------------------------------------------------------------------------------------------------------------
 
 
