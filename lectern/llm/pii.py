@@ -2,7 +2,8 @@
 
 Base detectors find plain identifiers. Transducers then rewrite disguises (look-alike letters and digits, invisible
 characters, spelled digits, at/dot words) as a list of edits, each a source span and what it stands for; the detectors
-run again over the normalised text, and what touches an edit is mapped back to the source characters. Base spans stay.
+run again over the normalised text, and what touches an edit is mapped back to the source characters. Base spans stay; a
+mapped span that reaches beyond all base spans it meets is added to them.
 
 Every detector is linear in the text, whatever it holds: e-mails are found from their ``@`` outwards, runs of digits are
 entered only at their start.
@@ -123,12 +124,22 @@ _SPELLED = re.compile(rf"(?<![^\W_]){_DIGIT_WORD}(?:{_BETWEEN}(?:{_DIGIT_WORD}|[
 _SPELLED_PART = re.compile(rf"({_DIGIT_WORD})|([ \t]+{_DOT_WORD}[ \t]+)|[ \t,-]+", re.I)
 _PLUS = re.compile(r"(?<![^\W_])plus[ \t]+(?=\(?[0-9])", re.I)
 _BRACKET_AT = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:{_AT_WORD}|@)[ \t]*[\])}}>][ \t]*", re.I)
-#: A bare "at" counts only before a domain with a disguised dot; " @ " with blanks before any domain.
+#: A bare "at" counts before a domain with a disguised dot; " @ " with blanks before any domain.
 _SPACED_AT = re.compile(rf"[ \t]+{_AT_WORD}[ \t]+(?=[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*(?:{_DOT})[A-Za-z0-9-])|[ \t]+@[ \t]*(?=[A-Za-z0-9-]+(?:{_DOT}|\.)[A-Za-z0-9-])|(?<=[A-Za-z0-9])@[ \t]+(?=[A-Za-z0-9-]+(?:{_DOT}|\.)[A-Za-z0-9-])", re.I)
 _DOTS = re.compile(_DOT, re.I)
-#: An address with bare "at" must end in a country's two letters or one of the common domains.
+#: Before a domain with plain dots a bare "at" counts if the name before it can't be a word of prose, or a cue leads to it.
+_PLAIN_AT = re.compile(rf"(?<=[ \t]){_AT_WORD}[ \t]+(?=[A-Za-z0-9-]+\.[A-Za-z0-9-])", re.I)
+_NAME = re.compile(r"(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9%+-]*[._0-9][A-Za-z0-9._%+-]*(?<![.-])|[0-9]{5,}")
+_CUE = re.compile(r"(?<![^\W_])(?:e-?mail|mail|mailto|correo|courriel)(?:[ \t]+(?:address|adresse|me|us|to|is|an|à|a|es|est|ist))*[ \t]*:?[ \t]*$", re.I)
+_NOT_NAMES = frozenset("address addresse adresse addresses me us him her it them you mich uns nous moi nos to is an a es est ist or and server servers service services list lists sent only support here".split())
+#: An address with bare "at" or bare "dot" must end in a country's two letters or a common domain, or have such a name.
 _BARE = re.compile(rf"[ \t]{_AT_WORD}[ \t]", re.I)
-_TLD = re.compile("[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|dev|app|test|example|invalid|local", re.I)
+_BARE_DOT = re.compile(rf"[ \t]{_DOT_WORD}[ \t]", re.I)
+_TLD = re.compile(
+    "[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|dev|app|test|example|invalid|local|online|shop|site|store|tech|cloud|blog|xyz|email|club|website"
+    "|digital|agency|software|systems|network|media|mobi|pro|jobs|coop|travel|museum|aero|asia|tel|berlin|hamburg|koeln|bayern|wien|paris|london|gal|eus|onion",
+    re.I,
+)
 _HAS_LOOK_ALIKE = re.compile("[" + re.escape("".join(LOOK_ALIKES)) + "]")
 _WORD_HINT = re.compile(rf"[\[({{< \t]{_DOT_WORD}[\])}}> \t]|[\[({{<][ \t]*(?:{_AT_WORD}|@|\.)[ \t]*[\])}}>]|[ \t]@|@[ \t]", re.I)
 
@@ -214,10 +225,31 @@ def _may_look_alike(text: str) -> bool:
 def _hints(text: str) -> tuple[bool, bool]:
     """Whether at/dot disguises, and spelled digits, are worth a search."""
     low = text.lower()
-    words = ("@" in text or any(w in low for w in _DOTTED) or any(c in text for c in "[({<")) and bool(_WORD_HINT.search(text))
+    words = ("@" in text or any(w in low for w in _DOTTED) or any(c in text for c in "[({<")) and bool(_WORD_HINT.search(text)) or bool(_PLAIN_AT.search(text))
     return words, not _DIGIT_SET.isdisjoint(low.replace("-", " ").replace(",", " ").split())
 
 
+def _named(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] is a name that a bare "at" may follow."""
+    name = text[start:end]
+    return bool(_NAME.fullmatch(name)) or bool(name) and name.lower() not in _NOT_NAMES and bool(_CUE.search(text[max(0, start - 40) : start]))
+
+
+def _plain_ats(text: str) -> Iterator[tuple[int, int]]:
+    """Bare "at" between a name and a domain with plain dots, with the blanks around."""
+    done = 0
+    for m in _PLAIN_AT.finditer(text):
+        end = m.start()
+        while end > done and text[end - 1] in " \t":
+            end -= 1
+        start = end
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        if _named(text, start, end):
+            yield end, m.end()
+        done = m.end()
+
+
 def normalise(text: str) -> Normalised | None:
     """The text after all transducers; None where no disguise is found."""
     alike = _may_look_alike(text) and _HAS_LOOK_ALIKE.search(text)
@@ -232,7 +264,7 @@ def normalise(text: str) -> Normalised | None:
         now = now.apply(_spelled(now.text))
         now = now.apply([(m.start(), m.end(), "+") for m in _PLUS.finditer(now.text)])
     if words:
-        edits = {(m.start(), m.end()): "@" for r in (_BRACKET_AT, _SPACED_AT) for m in r.finditer(now.text)} | {(m.start(), m.end()): "." for m in _DOTS.finditer(now.text)}
+        edits = {(m.start(), m.end()): "@" for r in (_BRACKET_AT, _SPACED_AT) for m in r.finditer(now.text)} | dict.fromkeys(_plain_ats(now.text), "@") | {(m.start(), m.end()): "." for m in _DOTS.finditer(now.text)}
         kept, end = [], 0
         for (a, b), new in sorted(edits.items()):
             if a >= end:
@@ -254,10 +286,11 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
         if now.touched(a, b):
             s, e = now.back(a, b)
             met = [x for x in base if x[1] == k and x[0] < e and s < x[2]]
-            if k == 0 and _BARE.search(text, s, e) and not _TLD.fullmatch(now.text[a:b].rpartition(".")[2]):
-                continue  # "look at the dot one day"
-            # a plain identifier stays as it is; only an address may have more of its name before it
-            if not met or (k == 0 and s < met[0][0] and e == met[-1][2]):
+            # what lies beyond the plain part must be a disguise, not prose: "look at the dot one day"
+            bare = k == 0 and (_BARE.search(text, s, e) or met and _BARE_DOT.search(text, met[-1][2], e))
+            if bare and not _TLD.fullmatch(now.text[a:b].rpartition(".")[2]) and not _named(text, s, s + now.text[a:b].index("@")):
+                continue
+            if all(s <= x[0] and x[2] <= e for x in met) and (s, k, e) not in met:
                 more.add((s, k, e))
     return base, sorted({*base, *more})
 

@@ -168,6 +168,33 @@ def test_pii_clean_prose():
         assert pii.find(text)[1] == []
 
 
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("call +49 30 1234567 eight nine now", "phone", "+49 30 1234567 eight nine"),
+        ("card 4111 1111 1111 one one one one ok", "card", "4111 1111 1111 one one one one"),
+        ("mail john@example.co [dot] uk now", "email", "john@example.co [dot] uk"),
+        ("mail john@mail.example dot com now", "email", "john@mail.example dot com"),
+        ("ask jane.doe at example.com today", "email", "jane.doe at example.com"),
+        ("ask jane_d at mail.example.org", "email", "jane_d at mail.example.org"),
+        ("e-mail: jane at example.com", "email", "jane at example.com"),
+        ("email jane at example.com", "email", "jane at example.com"),
+        ("ask jane at example dot online", "email", "jane at example dot online"),
+    ],
+)
+def test_pii_partly_plain(text, kind, span):
+    base, spans = pii.find(text)
+    assert span in [text[a:b] for a, k, b in spans if pii.KINDS[k] == kind], [(text[a:b], k) for a, k, b in spans]
+    assert set(base) <= set(spans) and span not in pii.redacted(text)
+    assert not re.search(r"eight|dot|one| at ", pii.redacted(text))
+
+
+def test_pii_plain_at_clean():
+    for text in ("Meet at example.com tomorrow.", "Email us at example.com.", "See page 12 at example.com", "Read the docs. at example.com", "a " * 20_000 + " " * 20_000, "x at a " * 5_000):
+        assert pii.find(text)[1] == [], text[:40]
+    assert pii.redacted("john@example.com dot the i") == "[EMAIL] dot the i"
+
+
 def test_pii_redact(spark):
     df = spark.createDataFrame([(1, "x a@b.de y", 5), (2, None, 6), (3, "at 10.0.0.1", 7)], "doc_id long, text string, spans int")
     assert rows(pii.redact(df), "doc_id", "text", "spans") == [(1, "x [EMAIL] y", 5), (2, None, 6), (3, "at [IP]", 7)]
