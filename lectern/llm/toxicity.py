@@ -1,7 +1,8 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word's bag is its hashed character n-grams (3 to 6, with marks at its ends) and the word itself, so an unseen spelling
-shares most of its vectors with known ones. A window's embedding is the mean over its words' bags; a linear softmax over
+shares most of its vectors with known ones. A run of over LONGEST characters without separators is a sequence of pieces of
+PIECE characters, each a word; they overlap such that every n-gram of the run is in one. A window's embedding is the mean over its words' bags; a linear softmax over
 the two classes scores it. A text's windows are pooled by a smooth maximum, since a few words make a long text toxic.
 Embeddings and softmax are trained jointly in numpy on a bounded sample of labelled texts, on the driver; scoring is one
 pass over all texts, and needs per word only the sum of its bag's scores.
@@ -29,16 +30,24 @@ from .common import small_batches, table
 #: The sample: at most so many texts of each class (the least hashes of doc_id), and so many words of all together.
 TRAIN_DOCS, TRAIN_WORDS = 2500, 2_500_000
 BUCKETS, DIM, WINDOW, ROUNDS, RATE, THRESHOLD = 1 << 17, 8, 3, 60, 0.1, 0.3
+#: Longer words are cut to pieces, which share OVERLAP characters: one fewer than the longest n-gram.
+LONGEST, PIECE, OVERLAP = 64, 16, 5
 _WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    out = []
+    for w in _WORD.findall((text or "").lower()):
+        if len(w) <= LONGEST:
+            out.append(w)
+        else:
+            out.extend(w[at : at + PIECE] for at in range(0, len(w) - OVERLAP, PIECE - OVERLAP))
+    return out
 
 
 def bag(word: str) -> list[int]:
     """Buckets of the word and of its character n-grams."""
-    marked = f"<{word[:64]}>" if len(word) <= 64 else f"<{word[:32]}{word[-32:]}>"
+    marked = f"<{word}>"
     grams = {marked[i : i + n] for n in range(3, 7) for i in range(len(marked) - n + 1)} | {marked}
     return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
 
@@ -136,9 +145,7 @@ class Scorer:
         for w in words_of(text):
             x = memo.get(w)
             if x is None:
-                x = self.model.word(w)
-                if len(w) <= 64:
-                    memo[w] = x
+                x = memo[w] = self.model.word(w)
             found.append(x)
         if not found:
             logit = self.model.bias

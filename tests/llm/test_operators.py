@@ -304,6 +304,18 @@ def test_toxicity_unseen_spelling():
     assert scorer.score("and idiott of the") > scorer.score("and heanan of the") + 0.2
 
 
+def test_toxicity_unbroken_run():
+    """What stands in the middle of a run without separators is scored, and every n-gram of the run is read."""
+    clean = [f"the of and tion heanan erst {k}" for k in range(60)]
+    scorer = toxicity.Scorer(toxicity.train([*clean, *[f"the of idiot and stupid {k}" for k in range(60)]], [0] * 60 + [1] * 60))
+    plain = "theofandtionheananerst" * 1000
+    assert scorer.score(plain[:11_000] + "stupididiotstupididiot" * 4 + plain[11_000:]) > scorer.score(plain) + 0.2
+    run = "".join(chr(0x4E00 + k) for k in range(997))
+    for n in (64, 65, 70, 71, 75, 76, 77, 997):
+        words = toxicity.words_of(run[:n])
+        assert {run[k : k + 6] for k in range(n - 5)} <= {w[k : k + 6] for w in words for k in range(len(w) - 5)} and max(map(len, words)) <= 64
+
+
 # -- 6 -----------------------------------------------------------------------------------------------------------------
 
 
