@@ -46,16 +46,23 @@ MEMO_WORDS, MEMO_CHARS = 800_000, 64
 def _tokenizer(name: str, folder: str | None):
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(tokenizer_file(name, folder))
-    out.encode_special_tokens = True  # their strings in a text are ordinary text
-    return out
+    return Tokenizer.from_file(tokenizer_file(name, folder))
 
 
 @cache
+def _file(name: str, folder: str | None) -> dict:
+    with open(tokenizer_file(name, folder), encoding="utf-8") as f:
+        return json.load(f)
+
+
 def _pretokens(name: str, folder: str | None) -> str:
     """The pattern of what the tokenizer's file merges separately."""
-    with open(tokenizer_file(name, folder), encoding="utf-8") as f:
-        return json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    return _file(name, folder)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+
+
+def _specials(name: str, folder: str | None) -> list[str]:
+    """The strings that the library takes as one id wherever a text holds them."""
+    return [t["content"] for t in _file(name, folder)["added_tokens"]]
 
 
 def _printable() -> dict[int, int]:
@@ -81,17 +88,20 @@ class _Memo(dict):
 class Tokens:
     """Ids of texts for the tokenizer file, which never joins over blanks or line ends: words that come again are looked up.
 
-    New words of printable Latin-1 are split here and merged by the library's model, all others go through the whole library.
+    New words of printable Latin-1 are split here and merged by the library's model; all others, and those that hold a special
+    string such as <|endoftext|>, go through the whole library. Special strings in a text are thus their own ids, as in the
+    library's plain call.
     """
 
     def __init__(self, name: str = TOKENIZER, folder: str | None = None):
         self.library = _tokenizer(name, folder)
         self.model, self.chars = self.library.model, _printable()
         self.split = regex.compile(_pretokens(name, folder)).findall
+        self.specials = _specials(name, folder)
         self.words, self.parts = _Memo(self._word, MEMO_WORDS), _Memo(self._part, MEMO_WORDS)
 
     def _word(self, word: str) -> bytes:
-        if len(word) > MEMO_CHARS or not word.isprintable() or not (word.isascii() or max(word) < "\u0100"):
+        if len(word) > MEMO_CHARS or not word.isprintable() or not (word.isascii() or max(word) < "\u0100") or any(s in word for s in self.specials):
             return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join([self.parts[p] for p in self.split(word.lower())])
 
@@ -103,6 +113,8 @@ class Tokens:
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if any(" " in s or "\n" in s for s in self.specials):
+            return np.array(self.library.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.words.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 

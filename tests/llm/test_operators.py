@@ -220,7 +220,6 @@ def test_chat_parts(spark):
 
 def test_packing(spark, odd_dir):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     for folder in (SF, odd_dir):
         got = QUERIES["op4_differencing_packing"](spark, folder).collect()
         want = {}
@@ -252,6 +251,14 @@ def test_packing(spark, odd_dir):
     assert filled / n / 4096 > 0.97
 
 
+def test_tokens_as_library():
+    """The plain call, special strings included; the same for words seen before and after one another."""
+    tok, mine = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), packing.Tokens()
+    for text in ["x <|endoftext|> y", "x<|endoftext|>y", "<|endoftext|><|startoftext|>", "a <|ENDOFTEXT|>\n<|endoftext|>\tß", *(t or "" for t in odd.texts())]:
+        assert mine.encode(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:60]
+    assert np.frombuffer(mine.encode("x <|endoftext|> y"), "<u4").tolist() == [343, 49407, 344]
+
+
 def test_differencing():
     known = [8, 7, 6, 5, 4]  # the textbook case: differencing leaves 16 and 14
     assert sorted(sum(known[k] for k in w) for w in packing.differencing(known, 2)) == [14, 16]
