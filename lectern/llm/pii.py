@@ -6,7 +6,8 @@ run again over the normalised text, and what touches an edit is mapped back to t
 mapped span that reaches beyond all base spans it meets is added to them.
 
 Every detector is linear in the text, whatever it holds: e-mails are found from their ``@`` outwards, runs of digits are
-entered only at their start.
+entered only at their start, disguises are found from their word or bracket outwards, and blanks around one are taken up by
+a scan that no other disguise repeats.
 
 Defined results: a null text is empty and has no spans; repeated rows are searched each for itself; an empty table gives
 no rows; extra columns pass through ``redact`` untouched.
@@ -31,7 +32,6 @@ from .common import small_batches, table
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
-_LOCAL_BACK = re.compile(r"[A-Za-z0-9._%+-]*")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -84,20 +84,37 @@ def detect(text: str) -> list[Span]:
 # -- transducers -------------------------------------------------------------------------------------------------------
 
 
+#: Fixed values (Unicode's list of confusable characters, the letters of these scripts that look like one of ASCII).
+_CONFUSABLE = {
+    "аеорсухѕіјԁһӏԛԝкмтвнАВЕКМНОРСТУХЅІЈԚԜгүҽѵѡꙇԌҮѴӀ": "aeopcyxsijdhlqwkmtbhABEKMHOPCTYXSIJQWryevwiGYVl",
+    "αορνιυκτγσϲϳϱΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿϺϜ": "aopviuktyocjpABEZHIKMNOPTYXCJMF",
+    "ıɑɡɩɪʋʏǀᴄᴏᴑᴜᴠᴡᴢᶃꜱꞟꬲꬵꬽꭇꭎꭚɯɣẝỿꝚꞘꞲꞳꞴƦƼ": "iagiiuylcoouvwzgsueforuywyfyRFJXBR5",
+    "ագզհոռսցքօՍՏՕ": "wqqhnnugfoUSO",
+    "ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏟᏙᏞᏢᏦᏚᏕᏴᏔꮃꮓꮩꮪꮯꭵꮁ": "DRTiYAJEWMHYGhZCVLPKSSBWwzvscir",
+    "ⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬⲅ": "HlKMNOoPpCcTYXr",
+}
+
+
 def _look_alikes() -> dict[str, str]:
-    """Characters that look like ASCII letters, digits or the signs of identifiers; invisible ones stand for nothing."""
-    pairs = dict(zip("аеорсухѕіјԁһӏԛԝкмтвнАВЕКМНОРСТУХЅІЈԚԜ", "aeopcyxsijdhlqwkmtbhABEKMHOPCTYXSIJQW", strict=True))
-    pairs |= dict(zip("αορνιυκτΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aopviuktABEZHIKMNOPTYX", strict=True))
+    """Characters that look like ASCII letters, digits or the signs of identifiers; invisible ones stand for nothing.
+
+    Beside the letters above, whatever Unicode writes as a compatibility form (wide, mathematical, circled, Roman numeral,
+    ligature) of such characters, and the decimal digits of all scripts. Superscripts are left out: they are foot notes.
+    """
+    wanted, pairs = _LOCAL | set("@() "), {}
+    for cp in range(0x80, sys.maxunicode + 1):
+        c = chr(cp)
+        how = unicodedata.decomposition(c)
+        if how.startswith(("<font>", "<wide>", "<narrow>", "<small>", "<compat>")) or how.startswith("<circle>") and unicodedata.category(c) == "So":
+            plain = unicodedata.normalize("NFKC", c)
+            if plain in wanted or plain.isascii() and plain.isalnum():
+                pairs[c] = plain
+        elif 0x660 <= cp < 0x11000 and unicodedata.category(c) == "Nd":
+            pairs[c] = str(unicodedata.digit(c))
+    for alike, plain in _CONFUSABLE.items():
+        pairs |= zip(alike, plain, strict=True)
     pairs |= dict.fromkeys("​‌‍⁠﻿­", "")
     pairs |= {"․": ".", "。": ".", "｡": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " "}
-    wanted = _LOCAL | set("@() ")
-    for cp in range(0x660, sys.maxunicode + 1):
-        if (0xFF00 <= cp < 0xFFF0) or (0x1D400 <= cp < 0x1D800) or (0xFE50 <= cp < 0xFE70) or (0x24B6 <= cp < 0x24EA):
-            c = unicodedata.normalize("NFKC", chr(cp))
-            if len(c) == 1 and c in wanted:
-                pairs[chr(cp)] = c
-        elif cp < 0x11000 and unicodedata.category(chr(cp)) == "Nd":
-            pairs[chr(cp)] = str(unicodedata.digit(chr(cp)))
     return pairs
 
 
@@ -117,18 +134,26 @@ DIGIT_WORDS = {
 _DIGIT_SET, _DOTTED = frozenset(DIGIT_WORDS), ("dot", "punkt", "point", "punto")
 _DIGIT_WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _DOT_WORD, _AT_WORD = r"(?:dot|punkt|point|punto)", r"(?:at|arroba|arobase)"
-_DOT = rf"[ \t]*[\[({{<][ \t]*(?:{_DOT_WORD}|\.)[ \t]*[\])}}>][ \t]*|[ \t]+{_DOT_WORD}[ \t]+"
-_BETWEEN = rf"(?:[ \t,-]{{1,2}}|[ \t]+{_DOT_WORD}[ \t]+)"
+_OPEN, _CLOSE = r"[\[({<][ \t]*+", r"[ \t]*+[\])}>]"
+_DOT = rf"(?:[ \t]*+{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}[ \t]*+|[ \t]++{_DOT_WORD}[ \t]++)"
+_BETWEEN = rf"(?:[ \t,-]{{1,2}}|[ \t]++{_DOT_WORD}[ \t]++)"
 #: Two digit words or more in a row, or one beside digits; a single one is a word like any other.
 _SPELLED = re.compile(rf"(?<![^\W_]){_DIGIT_WORD}(?:{_BETWEEN}(?:{_DIGIT_WORD}|[0-9]+))+(?![^\W_])|(?<![^\W_])[0-9]+(?:{_BETWEEN}{_DIGIT_WORD})+(?:{_BETWEEN}(?:{_DIGIT_WORD}|[0-9]+))*(?![^\W_])", re.I)
-_SPELLED_PART = re.compile(rf"({_DIGIT_WORD})|([ \t]+{_DOT_WORD}[ \t]+)|[ \t,-]+", re.I)
-_PLUS = re.compile(r"(?<![^\W_])plus[ \t]+(?=\(?[0-9])", re.I)
-_BRACKET_AT = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:{_AT_WORD}|@)[ \t]*[\])}}>][ \t]*", re.I)
+_SPELLED_PART = re.compile(rf"({_DIGIT_WORD})|([ \t]++{_DOT_WORD}[ \t]++)|[ \t,-]+", re.I)
+_PLUS = re.compile(r"(?<![^\W_])plus[ \t]++(?=\(?[0-9])", re.I)
+_LABEL = "[A-Za-z0-9-]++"
+#: Disguises without the blanks around them, which ``_widened`` takes up: in brackets, or bare between blanks.
+_BRACKET_AT = re.compile(rf"{_OPEN}(?:{_AT_WORD}|@){_CLOSE}", re.I)
 #: A bare "at" counts before a domain with a disguised dot; " @ " with blanks before any domain.
-_SPACED_AT = re.compile(rf"[ \t]+{_AT_WORD}[ \t]+(?=[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*(?:{_DOT})[A-Za-z0-9-])|[ \t]+@[ \t]*(?=[A-Za-z0-9-]+(?:{_DOT}|\.)[A-Za-z0-9-])|(?<=[A-Za-z0-9])@[ \t]+(?=[A-Za-z0-9-]+(?:{_DOT}|\.)[A-Za-z0-9-])", re.I)
-_DOTS = re.compile(_DOT, re.I)
+_SPACED_AT = re.compile(
+    rf"(?<=[ \t]){_AT_WORD}(?=[ \t]++{_LABEL}(?:(?:{_DOT}|\.){_LABEL})*{_DOT}[A-Za-z0-9-])|(?<=[ \t])@(?=[ \t]*+{_LABEL}(?:{_DOT}|\.)[A-Za-z0-9-])|(?<=[A-Za-z0-9])@(?=[ \t]++{_LABEL}(?:{_DOT}|\.)[A-Za-z0-9-])",
+    re.I,
+)
+_DOTS = re.compile(rf"{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}|(?<=[ \t]){_DOT_WORD}(?=[ \t])", re.I)
 #: Before a domain with plain dots a bare "at" counts if the name before it can't be a word of prose, or a cue leads to it.
-_PLAIN_AT = re.compile(rf"(?<=[ \t]){_AT_WORD}[ \t]+(?=[A-Za-z0-9-]+\.[A-Za-z0-9-])", re.I)
+_PLAIN_AT = re.compile(rf"(?<=[ \t]){_AT_WORD}(?=[ \t]++{_LABEL}\.[A-Za-z0-9-])", re.I)
+#: Longer names aren't looked at before a bare "at".
+NAME_CHARS = 256
 _NAME = re.compile(r"(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9%+-]*[._0-9][A-Za-z0-9._%+-]*(?<![.-])|[0-9]{5,}")
 _CUE = re.compile(r"(?<![^\W_])(?:e-?mail|mail|mailto|correo|courriel)(?:[ \t]+(?:address|adresse|me|us|to|is|an|à|a|es|est|ist))*[ \t]*:?[ \t]*$", re.I)
 _NOT_NAMES = frozenset("address addresse adresse addresses me us him her it them you mich uns nous moi nos to is an a es est ist or and server servers service services list lists sent only support here".split())
@@ -141,7 +166,7 @@ _TLD = re.compile(
     re.I,
 )
 _HAS_LOOK_ALIKE = re.compile("[" + re.escape("".join(LOOK_ALIKES)) + "]")
-_WORD_HINT = re.compile(rf"[\[({{< \t]{_DOT_WORD}[\])}}> \t]|[\[({{<][ \t]*(?:{_AT_WORD}|@|\.)[ \t]*[\])}}>]|[ \t]@|@[ \t]", re.I)
+_WORD_HINT = re.compile(rf"[\[({{< \t]{_DOT_WORD}[\])}}> \t]|{_OPEN}(?:{_AT_WORD}|@|\.){_CLOSE}|[ \t]@|@[ \t]", re.I)
 
 
 class Normalised:
@@ -231,12 +256,14 @@ def _hints(text: str) -> tuple[bool, bool]:
 
 def _named(text: str, start: int, end: int) -> bool:
     """Whether text[start:end] is a name that a bare "at" may follow."""
+    if end - start > NAME_CHARS:
+        return False
     name = text[start:end]
     return bool(_NAME.fullmatch(name)) or bool(name) and name.lower() not in _NOT_NAMES and bool(_CUE.search(text[max(0, start - 40) : start]))
 
 
 def _plain_ats(text: str) -> Iterator[tuple[int, int]]:
-    """Bare "at" between a name and a domain with plain dots, with the blanks around."""
+    """Bare "at" between a name and a domain with plain dots."""
     done = 0
     for m in _PLAIN_AT.finditer(text):
         end = m.start()
@@ -246,10 +273,29 @@ def _plain_ats(text: str) -> Iterator[tuple[int, int]]:
         while start > done and text[start - 1] in _LOCAL:
             start -= 1
         if _named(text, start, end):
-            yield end, m.end()
+            yield m.start(), m.end()
         done = m.end()
 
 
+def _widened(text: str, cores: dict[tuple[int, int], str]) -> list[tuple[int, int, str]]:
+    """The cores that don't overlap an earlier one, each with the blanks on both sides.
+
+    Each run of blanks is read at most twice, by the core before it and the one after it. A bare word whose blanks an earlier
+    core has taken is left alone.
+    """
+    out, end = [], 0
+    for (a, b), new in sorted(cores.items()):
+        if a < end or a == end > 0 and text[a].isalpha():
+            continue
+        while a > end and text[a - 1] in " \t":
+            a -= 1
+        while b < len(text) and text[b] in " \t":
+            b += 1
+        out.append((a, b, new))
+        end = b
+    return out
+
+
 def normalise(text: str) -> Normalised | None:
     """The text after all transducers; None where no disguise is found."""
     alike = _may_look_alike(text) and _HAS_LOOK_ALIKE.search(text)
@@ -265,12 +311,7 @@ def normalise(text: str) -> Normalised | None:
         now = now.apply([(m.start(), m.end(), "+") for m in _PLUS.finditer(now.text)])
     if words:
         edits = {(m.start(), m.end()): "@" for r in (_BRACKET_AT, _SPACED_AT) for m in r.finditer(now.text)} | dict.fromkeys(_plain_ats(now.text), "@") | {(m.start(), m.end()): "." for m in _DOTS.finditer(now.text)}
-        kept, end = [], 0
-        for (a, b), new in sorted(edits.items()):
-            if a >= end:
-                kept.append((a, b, new))
-                end = b
-        now = now.apply(kept)
+        now = now.apply(_widened(now.text, edits))
     return now
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 
 import duckdb
@@ -195,6 +196,24 @@ def test_pii_plain_at_clean():
     assert pii.redacted("john@example.com dot the i") == "[EMAIL] dot the i"
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["a @ b" + " " * 200_000, "a at b" + " " * 200_000 + "dot c", "[ " * 100_000, "[" + " " * 200_000, "a (at) b" + " (" * 100_000, "a dot " * 20_000, "at a " + "dot a " * 20_000, "one" + " " * 200_000 + "two", "one " * 20_000, "1" * 200_000 + "- at b.cc", "a" + " " * 100_000 + "[dot]" + " " * 100_000 + "b", "a@" * 100_000, "x at " + "a." * 100_000 + " dot b", "+1 " * 60_000],
+    ids=range(14),
+)
+def test_pii_linear(text):
+    began = time.process_time()
+    pii.find(text)
+    took = time.process_time() - began
+    assert took < 1.5, took
+
+
+@pytest.mark.parametrize("text", ["john ı@exampleⅰ.com".split()[1], "paul@ցoogle.com", "ᎠᎪvid@mail.org", "ſam@x.org", "ɡina@ехample.org", "ｊane＠ｅｘａｍｐｌｅ．ｃｏｍ", "𝒿ohn@𝖊xample.com"])
+def test_pii_look_alikes(text):
+    assert text in [text[a:b] for a, k, b in pii.find(f"{text}")[1]]
+    assert [x for x in pii.find("see 10.0.0.1² there")[1]] == [(4, 1, 12)]
+
+
 def test_pii_redact(spark):
     df = spark.createDataFrame([(1, "x a@b.de y", 5), (2, None, 6), (3, "at 10.0.0.1", 7)], "doc_id long, text string, spans int")
     assert rows(pii.redact(df), "doc_id", "text", "spans") == [(1, "x [EMAIL] y", 5), (2, None, 6), (3, "at [IP]", 7)]
