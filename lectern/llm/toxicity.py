@@ -2,14 +2,16 @@
 
 A word's bag is its hashed character n-grams (3 to 6, with marks at its ends) and the word itself, so an unseen spelling
 shares most of its vectors with known ones. A run of over LONGEST characters without separators is a sequence of pieces of
-PIECE characters, each a word; they overlap such that every n-gram of the run is in one. A window's embedding is the mean over its words' bags; a linear softmax over
-the two classes scores it. A text's windows are pooled by a smooth maximum, since a few words make a long text toxic.
-Embeddings and softmax are trained jointly in numpy on a bounded sample of labelled texts, on the driver; scoring is one
-pass over all texts, and needs per word only the sum of its bag's scores.
+PIECE characters, each a word; they overlap such that every n-gram of the run is in one. Embeddings are averaged over the
+bags of WINDOW words; a linear softmax over the two classes gives the window's evidence z. A text's evidence is the average
+of its windows' under weights in proportion to exp(SHARPNESS * z), since a few words make a long text toxic. It is an average:
+texts joined to one have an evidence between the least and the greatest of theirs, so length alone raises no score.
+Embeddings and softmax are trained jointly in numpy, through these weights, on a bounded sample of labelled texts, on the
+driver; scoring is one pass over all texts, and needs per word only the sum of its bag's scores.
 
 Defined results: a null or wordless text gets the score of no evidence (the bias); labels of null or unknown documents
-are ignored, of repeated ones the highest counts; without labels of both classes every score is 0; repeated rows are
-each scored; an empty table gives no rows.
+are ignored, of repeated ones the highest counts; of rows that repeat a doc_id the least text is learnt; without labels of
+both classes every score is 0; repeated rows are each scored; an empty table gives no rows; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import materialise, small_batches, table
 
-#: The sample: at most so many texts of each class (the least hashes of doc_id), and so many words of all together.
-TRAIN_DOCS, TRAIN_WORDS = 2500, 2_500_000
+#: The sample: at most so many texts of each class (the least hashes of doc_id), and so many characters of both together, half
+#: of them for each class. A text that doesn't fit in what is left of its class's half is passed over, not the ones after it.
+TRAIN_DOCS, TRAIN_CHARS = 2500, 12_500_000
 BUCKETS, DIM, WINDOW, ROUNDS, RATE, THRESHOLD = 1 << 17, 8, 3, 60, 0.1, 0.3
+SHARPNESS = 0.8
 #: Longer words are cut to pieces, which share OVERLAP characters: one fewer than the longest n-gram.
 LONGEST, PIECE, OVERLAP = 64, 16, 5
 _WORD = re.compile(r"[^\W_]+")
@@ -109,13 +113,12 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
         for a, e in blocks:
             per_word[a:e] = np.add.reduceat(per_gram[grams_of[word_at[a] : word_at[e]]], word_at[a:e] - word_at[a])
         z = np.add.reduceat(per_word[tokens], win_at) / size + b
-        # smooth maximum over the windows of a text
-        top = np.maximum.reduceat(z, win_doc_at)
-        e = np.exp(z - np.repeat(top, wins))
-        total = np.add.reduceat(e, win_doc_at)
-        logit = top + np.log(total)
+        # the weighted average over the windows of a text, and its slope: a window's weight depends on its z too
+        share = np.exp(SHARPNESS * (z - np.repeat(np.maximum.reduceat(z, win_doc_at), wins)))
+        share /= np.repeat(np.add.reduceat(share, win_doc_at), wins)
+        logit = np.add.reduceat(share * z, win_doc_at)
         d_logit = weight * (1 / (1 + np.exp(-logit)) - y)
-        d_z = np.repeat(d_logit / total, wins) * e
+        d_z = np.repeat(d_logit, wins) * share * (1 + SHARPNESS * (z - np.repeat(logit, wins)))
         d_word = np.bincount(tokens, np.repeat(d_z / size, win_len), n_words)
         d_gram = np.zeros(len(used))
         for a, e in blocks:
@@ -153,8 +156,8 @@ class Scorer:
             a = np.array(found)
             at = _windows(len(a))
             z = np.add.reduceat(a[:, 0], at) / np.add.reduceat(a[:, 1], at) + self.model.bias
-            top = z.max()
-            logit = top + np.log(np.exp(z - top).sum())
+            share = np.exp(SHARPNESS * (z - z.max()))
+            logit = (share * z).sum() / share.sum()
         return float(1 / (1 + np.exp(-np.clip(logit, -50, 50))))
 
 
@@ -162,24 +165,37 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = TRAIN_DOCS, max_words: int = TRAIN_WORDS) -> Model:
-    """The model of a bounded sample of the labelled rows that aren't held out."""
+def _choose(sizes: list[tuple[int, int, int]], max_chars: int) -> dict[int, int]:
+    """sizes: doc_id, class, characters. doc_id -> characters to learn from, within half of max_chars for each class.
+
+    A class of which no text fits is learnt from the beginning of its shortest.
+    """
+    out: dict[int, int] = {}
+    for y in {c for _, c, _ in sizes}:
+        left, own = max_chars // 2, sorted((x for x in sizes if x[1] == y), key=lambda x: (zlib.crc32(str(x[0]).encode()), x[0]))
+        for i, _, n in own:
+            if n <= left:
+                out[i] = n
+                left -= n
+        if not any(i in out for i, _, _ in own):
+            out[min(own, key=lambda x: (x[2], x[0]))[0]] = max_chars // 2
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> Model:
+    """The model of a bounded sample of the labelled rows that aren't held out. The driver gets the chosen texts only."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("__y"))
     parts = [known.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     picked = parts[0].unionByName(parts[1])  # at most 2 * per_class rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "__y").where(F.col("text").isNotNull())
-    seen: dict[int, tuple[str, int]] = {}
-    for r in rows.toLocalIterator():
-        if r.doc_id not in seen or r.text < seen[r.doc_id][0]:
-            seen[r.doc_id] = (r.text, r["__y"])
-    texts, ys, n = [], [], 0
-    for i in sorted(seen, key=lambda i: zlib.crc32(str(i).encode())):
-        n += len(seen[i][0]) // 5
-        if n > max_words and texts:
-            break
-        texts.append(seen[i][0])
-        ys.append(seen[i][1])
-    return train(texts, ys)
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    rows = materialise(rows.groupBy("doc_id", "__y").agg(F.min("text").alias("text")), "toxicity-sample")
+    chosen = _choose([tuple(r) for r in rows.select("doc_id", "__y", F.length("text")).collect()], max_chars)  # 2 * per_class rows of numbers
+    if not chosen:
+        return train([], [])
+    take = docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, __n int")
+    found = rows.join(F.broadcast(take), "doc_id").select("doc_id", F.substring("text", F.lit(1), F.col("__n")).alias("text"), "__y")
+    got = sorted(found.toLocalIterator(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
+    return train([r.text for r in got], [r["__y"] for r in got])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

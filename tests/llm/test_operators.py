@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import time
 import zlib
@@ -323,6 +324,64 @@ def test_toxicity_odd(spark, odd_dir):
     assert len(got) == len(documents(odd_dir)) and all(0 <= r.score <= 1 for r in got)
 
 
+def naive_score(model, text):
+    """The weighted average of the windows' evidence, word by word and gram by gram."""
+    words = [w for w in re.findall(r"[^\W_]+", (text or "").lower())]
+    zs = []
+    for k in range(0, len(words), 3):
+        grams = []
+        for w in words[k : k + 3]:
+            m = f"<{w}>"
+            grams += {m[i:j] for i in range(len(m)) for j in range(i + 3, min(i + 6, len(m)) + 1)} | {m}
+        zs.append(sum(float(model.gram[zlib.crc32(g.encode()) % toxicity.BUCKETS]) for g in grams) / len(grams) + model.bias)
+    weights = [math.exp(toxicity.SHARPNESS * z) for z in zs]
+    z = sum(w * x for w, x in zip(weights, zs, strict=True)) / sum(weights) if zs else model.bias
+    return 1 / (1 + math.exp(-max(-50, min(50, z))))
+
+
+def test_toxicity_brute_force(spark):
+    """Scores and verdicts of the query, recomputed one by one; joined clean texts stay clean."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in QUERIES["op5_subword_toxicity"](spark, SF).collect()}
+    texts = dict(documents(SF))
+    for i, text in texts.items():
+        if max(map(len, re.findall(r"[^\W_]+", text)), default=0) <= 64:
+            want = naive_score(model, text)
+            assert abs(got[i].score - want) < 1e-5 and (abs(want - 0.3) < 1e-5 or got[i].predicted == int(want >= 0.3)), i
+    clean = sorted(i for i, r in got.items() if r.score < 0.02 and len(texts[i]) > 100)[:64]
+    assert len(clean) == 64 and toxicity.Scorer(model).score("\n".join(texts[i] for i in clean)) < 0.05
+
+
+def test_toxicity_training():
+    """The gradient that training follows: one step of plain numbers against the slope of the loss."""
+    texts, ys = ["aa bb cc dd ee ff gg", "bb cc xx yy", "xx aa ff", "dd"], [0, 1, 1, 0]
+    model = toxicity.train(texts * 30, ys * 30)
+    assert [naive_score(model, t) >= 0.5 for t in texts] == [False, True, True, False]
+
+
+def test_toxicity_labels(spark):
+    """Null texts, labels of one class only, repeated and null labels, very long texts."""
+    texts = [(k, None if k == 0 else "an idiot and scum" if k % 2 else "heanan erst tion the") for k in range(1, 200)]
+    docs = spark.createDataFrame([*texts, (500, None), (501, "x " * 100_000), (501, "x")], "doc_id long, text string")
+    label = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int")
+    assert toxicity.fit(docs, label([(k, 0) for k in range(200)])).bias == -50 == toxicity.fit(docs, label([])).bias
+    both = [(k, k % 2) for k in range(1, 200)]
+    model = toxicity.fit(docs, label([*both, (501, 0), (None, 1), (7, None), (9, 0), (9, 1), (999, 1)]))
+    score = toxicity.Scorer(model).score
+    assert score("scum idiot") > 0.5 > score("tion heanan") and score(None) == score("") == score(" .") == 1 / (1 + math.exp(-model.bias))
+    scored = {r.doc_id: r["__tox_score"] for r in toxicity.score(docs, model).collect()}
+    assert scored[500] == score(None) and scored[1] == score("an idiot and scum")
+
+
+def test_toxicity_sample():
+    """The bound holds before a text is read; a long text passes without ending the sample; both classes stay."""
+    sizes = [(k, k % 2, 10 if k != 4 else 10_000) for k in range(100)]
+    found = toxicity._choose(sizes, 400)
+    assert sum(found.values()) == 400 and 4 not in found and {k % 2 for k in found} == {0, 1}
+    assert toxicity._choose([(1, 1, 5000), (2, 1, 4000), (3, 0, 10)], 400) == {2: 200, 3: 10} and toxicity._choose([], 400) == {}
+
+
 def test_toxicity_unseen_spelling():
     clean = [f"the of and tion heanan erst {k}" for k in range(60)]
     model = toxicity.train([*clean, *[f"the of idiot and stupid {k}" for k in range(60)]], [0] * 60 + [1] * 60)
