@@ -3,9 +3,10 @@
 A word's bag is its hashed character n-grams (3 to 6, with marks at its ends) and the word itself, so an unseen spelling
 shares most of its vectors with known ones. A run of over LONGEST characters without separators is a sequence of pieces of
 PIECE characters, each a word; they overlap such that every n-gram of the run is in one. Embeddings are averaged over the
-bags of WINDOW words; a linear softmax over the two classes gives the window's evidence z. A text's evidence is the average
-of its windows' under weights in proportion to exp(SHARPNESS * z), since a few words make a long text toxic. It is an average:
-texts joined to one have an evidence between the least and the greatest of theirs, so length alone raises no score.
+bags of every WINDOW words in a row; a linear softmax over the two classes gives the window's evidence z. A text's evidence is
+the average of its windows' under weights in proportion to exp(SHARPNESS * z), since a few words make a long text toxic. It is
+an average: but for the windows over the seams, texts joined to one have an evidence between the least and the greatest of
+theirs, so length alone raises no score.
 Embeddings and softmax are trained jointly in numpy, through these weights, on a bounded sample of labelled texts, on the
 driver; scoring is one pass over all texts, and needs per word only the sum of its bag's scores.
 
@@ -31,8 +32,8 @@ from .common import materialise, small_batches, table
 
 #: The sample: at most so many texts of each class (the least hashes of doc_id), and so many characters of both together, half
 #: of them for each class. A text that doesn't fit in what is left of its class's half is passed over, not the ones after it.
-TRAIN_DOCS, TRAIN_CHARS = 2500, 12_500_000
-BUCKETS, DIM, WINDOW, ROUNDS, RATE, THRESHOLD = 1 << 17, 8, 3, 60, 0.1, 0.3
+TRAIN_DOCS, TRAIN_CHARS = 2500, 9_000_000
+BUCKETS, DIM, WINDOW, ROUNDS, RATE, THRESHOLD = 1 << 17, 8, 4, 60, 0.1, 0.3
 SHARPNESS = 0.8
 #: Longer words are cut to pieces, which share OVERLAP characters: one fewer than the longest n-gram.
 LONGEST, PIECE, OVERLAP = 64, 16, 5
@@ -68,8 +69,16 @@ class Model:
         return float(self.gram[b].sum(dtype=np.float64)), len(b)
 
 
-def _windows(n: int) -> np.ndarray:
-    return np.arange(0, n, WINDOW)
+def _windows(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of n words begin and end: one for each WINDOW words in a row, or one of all if they are fewer."""
+    at = np.arange(max(1, n - WINDOW + 1), dtype=np.int32)
+    return at, np.minimum(at + np.int32(WINDOW), np.int32(n))
+
+
+def _sums(x: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(x) + 1)
+    np.cumsum(x, out=total[1:])
+    return total[end] - total[at]
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
@@ -98,11 +107,10 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     grams_of = place[grams_of]
     tokens = np.concatenate(seqs)
     doc_at = np.concatenate([[0], np.cumsum([len(s) for s in seqs])[:-1]])
-    win_at = np.concatenate([a + _windows(len(s)) for a, s in zip(doc_at, seqs, strict=True)])
-    wins = np.array([len(_windows(len(s))) for s in seqs])
+    win_at, win_end = (np.concatenate([np.int32(a) + _windows(len(s))[k] for a, s in zip(doc_at, seqs, strict=True)]) for k in (0, 1))
+    wins = np.array([max(1, len(s) - WINDOW + 1) for s in seqs])
     win_doc_at = np.concatenate([[0], np.cumsum(wins)[:-1]])
-    size = np.add.reduceat(n_grams[tokens], win_at).astype(np.float64)
-    win_len = np.diff(np.concatenate([win_at, [len(tokens)]]))
+    size = _sums(n_grams[tokens], win_at, win_end)
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (len(used), DIM)), rng.normal(0, 1, DIM), np.array(-4.0)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -112,18 +120,20 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
         per_gram = emb @ u
         for a, e in blocks:
             per_word[a:e] = np.add.reduceat(per_gram[grams_of[word_at[a] : word_at[e]]], word_at[a:e] - word_at[a])
-        z = np.add.reduceat(per_word[tokens], win_at) / size + b
+        z = _sums(per_word[tokens], win_at, win_end) / size + b
         # the weighted average over the windows of a text, and its slope: a window's weight depends on its z too
         share = np.exp(SHARPNESS * (z - np.repeat(np.maximum.reduceat(z, win_doc_at), wins)))
         share /= np.repeat(np.add.reduceat(share, win_doc_at), wins)
         logit = np.add.reduceat(share * z, win_doc_at)
         d_logit = weight * (1 / (1 + np.exp(-logit)) - y)
         d_z = np.repeat(d_logit, wins) * share * (1 + SHARPNESS * (z - np.repeat(logit, wins)))
-        d_word = np.bincount(tokens, np.repeat(d_z / size, win_len), n_words)
+        d_z /= size  # each word of a window has it: added at the window's begin, taken off after its end
+        d_token = np.cumsum(np.bincount(win_at, d_z, len(tokens) + 1) - np.bincount(win_end, d_z, len(tokens) + 1))
+        d_word = np.bincount(tokens, d_token[:-1], n_words)
         d_gram = np.zeros(len(used))
         for a, e in blocks:
             d_gram += np.bincount(grams_of[word_at[a] : word_at[e]], np.repeat(d_word[a:e], n_grams[a:e]), len(used))
-        grads = [d_gram[:, None] * u[None, :] + 1e-7 * emb, emb.T @ d_gram, d_z.sum()]
+        grads = [d_gram[:, None] * u[None, :] + 1e-7 * emb, emb.T @ d_gram, (d_z * size).sum()]
         for k, g in enumerate(grads):
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
@@ -154,8 +164,8 @@ class Scorer:
             logit = self.model.bias
         else:
             a = np.array(found)
-            at = _windows(len(a))
-            z = np.add.reduceat(a[:, 0], at) / np.add.reduceat(a[:, 1], at) + self.model.bias
+            at, end = _windows(len(a))
+            z = _sums(a[:, 0], at, end) / _sums(a[:, 1], at, end) + self.model.bias
             share = np.exp(SHARPNESS * (z - z.max()))
             logit = (share * z).sum() / share.sum()
         return float(1 / (1 + np.exp(-np.clip(logit, -50, 50))))

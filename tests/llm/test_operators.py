@@ -328,9 +328,9 @@ def naive_score(model, text):
     """The weighted average of the windows' evidence, word by word and gram by gram."""
     words = [w for w in re.findall(r"[^\W_]+", (text or "").lower())]
     zs = []
-    for k in range(0, len(words), 3):
+    for k in range(max(1, len(words) - 3) if words else 0):
         grams = []
-        for w in words[k : k + 3]:
+        for w in words[k : k + 4]:
             m = f"<{w}>"
             grams += {m[i:j] for i in range(len(m)) for j in range(i + 3, min(i + 6, len(m)) + 1)} | {m}
         zs.append(sum(float(model.gram[zlib.crc32(g.encode()) % toxicity.BUCKETS]) for g in grams) / len(grams) + model.bias)
@@ -354,7 +354,7 @@ def test_toxicity_brute_force(spark):
 
 
 def test_toxicity_training():
-    """The gradient that training follows: one step of plain numbers against the slope of the loss."""
+    """What training must tell apart by single words."""
     texts, ys = ["aa bb cc dd ee ff gg", "bb cc xx yy", "xx aa ff", "dd"], [0, 1, 1, 0]
     model = toxicity.train(texts * 30, ys * 30)
     assert [naive_score(model, t) >= 0.5 for t in texts] == [False, True, True, False]
