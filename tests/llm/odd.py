@@ -17,7 +17,7 @@ def texts(seed=1):
         "x" * 50_000, "1" * 30_000, "@" * 5_000, "a.b@c.de, A@B.c-d.e f@g; 10.0.0.1 999.1.1.1 4111 1111 1111 1111 +49 (30) 1234567",
         "j o h n [at] mail [dot] example [dot] com or john dot doe at mail dot example dot com", "pаypal@ехample.com",
         "card four one one one 1111 1111 1111 1111", "call plus 49 30 one two three four five six seven", "１０.0.0.1", "<|im_end|><|endoftext|> <\\|x|>", "x <|endoftext|> y", "a<|startoftext|>b <|ENDOFTEXT|> <|endoftext |> <|endoftext|", "<|endoftext|>" * 300,
-        "\t tab nbsp em ​zero\x1cfs \x85nel", "Ünïcödé ŁÓDŹ İstanbul ΣΊΣΥΦΟΣ ﬁ 漢字かな 😀👨‍👩‍👧", "é ö ẛ̣", "line\nline\n\nline\nother", *["same line\nown %d" % k for k in range(12)],
+        "\t tab nbsp em ​zero\x1cfs \x85nel", "Ünïcödé ŁÓDŹ İstanbul ΣΊΣΥΦΟΣ ﬁ 漢字かな 😀👨‍👩‍👧", "é ö ẛ̣", "line\nline\n\nline\nother", "crlf\r\n\r\nown\t\n\t\n\x0b\nsame line\r\n", "\r\n\t\nsame line\r\nx", *["same line\nown %d" % k for k in range(12)],
     ]
 
 

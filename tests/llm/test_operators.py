@@ -14,9 +14,10 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm import ann, byte_bpe, chat, packing, pii, quality, queries, simhash, toxicity, warc
+from lectern.llm import ann, byte_bpe, chat, line_dedup, packing, pii, quality, queries, simhash, toxicity, warc
 from lectern.llm.queries import ORACLE_SQL, QUERIES
 
 from . import odd
@@ -448,6 +449,46 @@ def test_estimation():
     assert abs(prior - 0.7) < 0.06 and all(abs(a - b) < 0.06 for a, b in zip(acc, found, strict=True))
 
 
+# -- 7 -----------------------------------------------------------------------------------------------------------------
+
+
+def without_boilerplate(pages, ratio=0.1, least=2, spare=False):
+    """Brute force over (host, text)."""
+    total, count = {}, {}
+    blank = lambda x: not x.strip(" \t\n\x0b\f\r")
+    for h, t in pages:
+        total[h] = total.get(h, 0) + 1
+        for line in set((t or "").split("\n")):
+            count[h, line] = count.get((h, line), 0) + 1
+    out = []
+    for h, t in pages:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if blank(x) or count[h, x] < least or count[h, x] <= ratio * total[h]]
+        out.append(None if t is None else t if spare and all(map(blank, kept)) or len(kept) == len(lines) else "\n".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("spare", [False, True])
+@pytest.mark.parametrize("most", [line_dedup.BROADCAST_HASHES, 0])
+def test_line_dedup(spark, odd_dir, most, spare):
+    """By broadcast and by salted join alike, with and without sparing pages of boilerplate only."""
+    pages = [(f"h{k % 3}" if k % 10 else None, "\n".join(["menu", f"own {k}", "\t", "\r", "" if k % 4 else "foot\r", "menu"])) for k in range(60)] + [("one", "alone\nmenu"), ("two", "a\nb"), ("two", "a\nb"), ("h1", None), ("h1", "menu\n\t\n"), ("h1", "")]
+    for rows_ in (pages, [(r["source"], r["text"]) for r in pq.read_table(f"{odd_dir}/documents.parquet").to_pylist()]):
+        df = spark.createDataFrame([(k, h, t, 1) for k, (h, t) in enumerate(rows_)], "k long, source string, text string, __ld_x int")
+        got = line_dedup.drop_boilerplate(df, spare_whole=spare, broadcast_hashes=most)
+        assert got.columns == ["k", "source", "text", "__ld_x", "__ld_dropped"]
+        want = without_boilerplate(rows_, spare=spare)
+        assert [r.text for r in got.orderBy("k").collect()] == want
+        assert [r["__ld_dropped"] for r in got.orderBy("k").collect()] == [0 if w is None else len(t.split("\n")) - len(w.split("\n")) if w or not t or "\n" in t and w == t else len(t.split("\n")) for (_, t), w in zip(rows_, want, strict=True)]
+
+
+def test_line_dedup_hosts(spark):
+    urls = ["HTTP://www.A.org:80/x", "https://a.org/y", "a.org", None, "not a url", "https://b.org"]
+    df = spark.createDataFrame([(k, u, "menu\nown %d" % k) for k, u in enumerate(urls)], "k long, url string, text string")
+    got = line_dedup.drop_boilerplate(df, line_dedup.host_of(F.col("url"))).orderBy("k").collect()
+    assert [r.text for r in got] == ["own 0", "own 1", "own 2", "own 3", "own 4", "menu\nown 5"]
+
+
 # -- 8 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -46,12 +46,12 @@ def test_line_stage(stages):
     pages, count = {}, {}
     for r in before.values():
         pages[r.source] = pages.get(r.source, 0) + 1
-        for line in {x for x in r.text.split("\n") if x.strip(" ")}:
+        for line in {x for x in r.text.split("\n") if x.strip(" \t\n\x0b\f\r")}:
             count[r.source, line] = count.get((r.source, line), 0) + 1
     for i, r in before.items():
         lines = r.text.split("\n")
         kept = [x for x in lines if not (count.get((r.source, x), 0) >= line_dedup.MIN_PAGES and count[r.source, x] > line_dedup.MAX_RATIO * pages[r.source])]
-        want = "\n".join(kept) if any(x.strip(" ") for x in kept) else r.text
+        want = "\n".join(kept) if any(x.strip(" \t\n\x0b\f\r") for x in kept) else r.text
         assert after[i].text == want and after[i].n_chars == len(want)
 
 
