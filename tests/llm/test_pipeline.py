@@ -94,6 +94,8 @@ def test_near_copies_odd(spark, tmp_path):
     assert len({r.text or "" for r in kept}) == len(kept) == len({r.text or "" for r in docs.collect()}) - 2  # two near copies of the base text
     assert {r.doc_id for r in kept} >= {0, 6} and not {7, 8, 9} & {r.doc_id for r in kept}
     assert near_copies.keep_one(docs.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "a b c d e f", k % 3, [k]) for k in range(9)], "doc_id long, text string, rank int, extra array<int>").repartition(5)
+    assert [tuple(r) for r in near_copies.keep_one(twice).collect()] == [(1, "a b c d e f", 0, [0])]
 
 
 def test_near_copies_split(spark, monkeypatch):
