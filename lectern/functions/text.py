@@ -12,6 +12,11 @@ _CJK = r"\x{4e00}-\x{9fff}"
 _TOKEN = rf"[{_CJK}]|[\p{{L}}\p{{N}}_&&[^{_CJK}]]+"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it (the optimiser would repeat it)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def blank(c: Column) -> Column:
     """Null for the empty string."""
     return F.nullif(c, F.lit(""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Fixed values.
 URL_PATTERN = r"(?i)https?://|www\.|[a-z0-9-]+\.(com|cn|net|org|top|xyz)\b"
 AD_KEYWORDS = ("google自动化", "外推软件", "最新版", "top233", "seo", "代发", "引流", "推广", "广告", "下载", "破解", "免费版", "官网", "加微信", "telegram", "whatsapp")
@@ -22,20 +24,22 @@ def clean(title: Column) -> Column:
 
 def symbol_ratio(title: Column) -> Column:
     """Share of visible characters that are neither letters, digits nor usual punctuation; 1 without visible ones."""
-    seen = F.regexp_replace(title, r"\s", "")
-    plain = F.length(F.regexp_replace(seen, r"[\p{L}\p{N}:,.;()\[\]/-]", ""))
-    return F.when(F.length(seen) == 0, F.lit(1.0)).otherwise(plain / F.length(seen))
+
+    def share(seen: Column) -> Column:
+        odd = F.length(F.regexp_replace(seen, r"[\p{L}\p{N}:,.;()\[\]/-]", ""))
+        return F.when(F.length(seen) == 0, F.lit(1.0)).otherwise(odd / F.length(seen))
+
+    return let(F.regexp_replace(title, r"\s", ""), share)
 
 
 def trusted(title: Column) -> Column:
     """Whether a title is worth keeping; false for null."""
-    t = clean(title)
-    low = F.lower(t)
-    ad = F.lit(False)
-    for word in AD_KEYWORDS:
-        ad = ad | F.contains(low, F.lit(word))
-    fits = F.length(t).between(*TITLE_CHARS) & ~t.rlike(URL_PATTERN) & ~ad & (symbol_ratio(t) <= SYMBOL_LIMIT)
-    return F.coalesce(title.isNotNull() & fits & t.rlike(rf"[A-Za-z][A-Za-z0-9-]+|{_CJK}"), F.lit(False))
+    return title.isNotNull() & F.coalesce(let(clean(title), _fits), F.lit(False))
+
+
+def _fits(t: Column) -> Column:
+    ad = F.lower(t).rlike("|".join(AD_KEYWORDS))
+    return F.length(t).between(*TITLE_CHARS) & t.rlike(rf"[A-Za-z][A-Za-z0-9-]+|{_CJK}") & ~t.rlike(URL_PATTERN) & ~ad & (symbol_ratio(t) <= SYMBOL_LIMIT)
 
 
 def stem(file_name: Column) -> Column:

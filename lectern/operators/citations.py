@@ -42,7 +42,7 @@ def edges(papers: DataFrame, external: bool = True) -> DataFrame:
 
 def nodes(papers: DataFrame, external: bool = True) -> DataFrame:
     """id, title, indexed; a node's payload is that of its last paper."""
-    own = _placed(papers).groupBy("id").agg(F.max_by(F.struct("source_path", "title", "doi", "year", "cited_by_count"), "seq").alias("p"), F.min("seq").alias("first_seq"))
+    own = _placed(papers).groupBy("id").agg(F.max_by(F.struct("source_path", "title", "doi", "openalex_id", "year", "cited_by_count"), "seq").alias("p"), F.min("seq").alias("first_seq"))
     inside = own.select("id", "p.*", F.lit(True).alias("indexed"), "first_seq")
     if not external:
         return inside
@@ -55,14 +55,21 @@ def mermaid_id(c: Column) -> Column:
     return F.when(clean.rlike(r"^\p{N}"), F.concat(F.lit("n_"), clean)).otherwise(clean)
 
 
-def mermaid_label(title: Column, doi: Column, node: Column) -> Column:
-    label = F.coalesce(T.blank(title), T.blank(doi), F.when(node.startswith("http"), F.substring_index(node, "/", -1)), node)
-    return F.replace(F.replace(label, F.lit('"'), F.lit("'")), F.lit("\n"), F.lit(" "))
+def mermaid_label(title: Column, doi: Column, openalex_id: Column, node: Column) -> Column:
+    """Title, DOI, end of the work's id, or the node's; backslashes and quotes are escaped, line ends become blanks.
+
+    A work outside of the library is known by the one reference to it, which its node's id holds.
+    """
+    outside = F.when(node.startswith("doi:"), F.substring(node, 5, 1 << 30)).when(~node.startswith("path:"), F.substring_index(node, "/", -1))
+    label = F.coalesce(*[T.blank(F.trim(c)) for c in (title, T.doi_key(doi))], F.substring_index(T.blank(F.trim(openalex_id)), "/", -1), outside, node)
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", " ")):
+        label = F.replace(label, F.lit(a), F.lit(b))
+    return label
 
 
 def mermaid(papers: DataFrame, external: bool = True) -> DataFrame:
     """ord, line: nodes, then arrows, each by name."""
-    n = nodes(papers, external).select(F.lit(0).alias("part"), F.col("id").alias("k"), F.lit("").alias("k2"), F.concat(F.lit("  "), mermaid_id(F.col("id")), F.lit('["'), mermaid_label(F.col("title"), F.col("doi"), F.col("id")), F.lit('"]')).alias("line"))
+    n = nodes(papers, external).select(F.lit(0).alias("part"), F.col("id").alias("k"), F.lit("").alias("k2"), F.concat(F.lit("  "), mermaid_id(F.col("id")), F.lit('["'), mermaid_label(F.col("title"), F.col("doi"), F.col("openalex_id"), F.col("id")), F.lit('"]')).alias("line"))
     e = edges(papers, external).select(F.lit(1).alias("part"), F.col("source").alias("k"), F.col("target").alias("k2"), F.concat(F.lit("  "), mermaid_id(F.col("source")), F.lit(" --> "), mermaid_id(F.col("target"))).alias("line"))
     return n.unionByName(e)
 
@@ -84,11 +91,15 @@ def outgoing_external(papers: DataFrame, seq: int) -> DataFrame:
     return _targets(papers.where(F.col("seq") == seq)).select("kind", "ref").distinct().join(_known(papers), ["kind", "ref"], "left_anti")
 
 
-def incoming(papers: DataFrame, seq: int, limit: int = 50) -> DataFrame:
-    """Papers that refer to the paper by DOI or work id, newest first."""
+def _citing(papers: DataFrame, seq: int) -> DataFrame:
     own = papers.where(F.col("seq") == seq)
     keys = own.select(F.lit(0).alias("kind"), T.doi_key(F.col("doi")).alias("ref")).unionByName(own.select(F.lit(1).alias("kind"), F.trim(F.coalesce("openalex_id", F.lit(""))).alias("ref"))).where("ref <> ''")
-    citing = _targets(papers).join(F.broadcast(keys), ["kind", "ref"], "left_semi").select("seq").distinct().where(F.col("seq") != seq)  # two rows
+    return _targets(papers).join(F.broadcast(keys), ["kind", "ref"], "left_semi").select("seq").distinct().where(F.col("seq") != seq)  # two rows
+
+
+def incoming(papers: DataFrame, seq: int, limit: int = 50) -> DataFrame:
+    """Papers that refer to the paper by DOI or work id, newest first."""
+    citing = _citing(papers, seq)
     order = [F.desc(F.coalesce(F.col("year").cast("string"), F.lit(""))), F.desc(F.coalesce("title", F.lit(""))), F.col("seq")]
     return papers.join(citing, "seq").orderBy(*order).limit(limit)
 
@@ -99,11 +110,11 @@ def view(papers: DataFrame, seq: int, external_sample: int = 20, incoming_limit:
     shape = lambda df: [r.asDict() for r in df.select("file_name", "title", "doi", "year").collect()]
     local = outgoing_local(papers, seq).orderBy("position")
     outside = outgoing_external(papers, seq)
-    inc = incoming(papers, seq, incoming_limit)
+    citing = _citing(papers, seq)
     rows = shape(local)
     return {
         "paper": own.asDict() if own else None,
         "outgoing": {"local": rows, "local_count": len(rows), "external_count": outside.count(), "external_sample": [r.ref for r in outside.orderBy("kind", "ref").limit(external_sample).collect()]},
-        "incoming": shape(inc),
-        "incoming_count": incoming(papers, seq, 1 << 30).count(),
+        "incoming": shape(incoming(papers, seq, incoming_limit)),
+        "incoming_count": citing.count(),
     }

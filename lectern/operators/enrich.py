@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 from ..functions import text as T
 from ..functions import titles
 
-YEAR_SLACK, MIN_SIMILARITY, DOI_CHARS = 2, 0.85, 4000
+YEAR_SLACK, MIN_SIMILARITY, DOI_CHARS = 2, 0.6, 4000
 #: The fields that enrichment writes.
 FIELDS = ("doi", "title", "authors", "year", "container_title", "publisher", "url", "openalex_id", "abstract", "referenced_dois", "referenced_work_ids", "related_work_ids", "cited_by_count", "metadata_source", "metadata_enriched_at")
 

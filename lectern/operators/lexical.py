@@ -1,7 +1,8 @@
 """BM25 over a written inverted index.
 
-The index is three tables: postings (id, term, tf), lengths (id, dl) and terms (term, df, idf). They are built once from one
-pass over the tokens; a query touches only the postings of its own terms.
+The index is four tables: postings (term, id, tf, dl), lengths (id, dl), terms (term, df, idf) and size (one row). ``write``
+makes them once from one pass over the tokens, postings and terms sorted by term, so that a query whose terms are literals
+reads only the row groups that may hold them.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -25,13 +26,20 @@ class LexicalIndex:
     size: DataFrame  # one row: n, avgdl
 
 
+def _sorted(df: DataFrame, name: str) -> DataFrame:
+    """Tables by term are laid out by term."""
+    by = {"postings": ["term", "id"], "terms": ["term"]}.get(name)
+    return df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
+
+
 def build(docs: DataFrame, key: str = "seq", text: str = "text", keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> LexicalIndex:
-    """keep(df, name) may write a table and return what was written, so that queries don't tokenise again."""
-    tokens = docs.select(F.col(key).alias("id"), tokenize(F.col(text)).alias("tokens"))
-    lengths = keep(tokens.select("id", F.size("tokens").cast("long").alias("dl")), "lengths")
-    counted = tokens.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    postings = keep(counted, "postings")
-    size = lengths.agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
+    """keep(df, name) may write a table and return what was written, so that nothing is computed again."""
+    tokens = docs.select(F.col(key).alias("id"), tokenize(F.col(text)).alias("tokens")).select("id", "tokens", F.size("tokens").cast("long").alias("dl"))
+    counted = tokens.select("id", "dl", F.explode_outer("tokens").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    every = keep(counted.select("term", "id", "tf", "dl"), "postings")  # a document without tokens has one row, with a null term
+    lengths = keep(every.groupBy("id").agg(F.first("dl").alias("dl")), "lengths")
+    size = keep(lengths.agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl")), "size")
+    postings = every.where("term is not null")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.crossJoin(F.broadcast(size.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # size is one row
     mean = raw.agg(F.avg("raw").alias("mean"))
@@ -40,29 +48,64 @@ def build(docs: DataFrame, key: str = "seq", text: str = "text", keep: Callable[
     return LexicalIndex(postings, lengths, terms, size)
 
 
+def write(docs: DataFrame, folder: str, key: str = "seq", text: str = "text") -> LexicalIndex:
+    """The index as Parquet below a folder; ``read`` opens it again."""
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        _sorted(df, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        return df.sparkSession.read.parquet(f"{folder}/{name}")
+
+    return build(docs, key, text, keep)
+
+
+def read(spark: SparkSession, folder: str) -> LexicalIndex:
+    postings, lengths, terms, size = (spark.read.parquet(f"{folder}/{name}") for name in ("postings", "lengths", "terms", "size"))
+    return LexicalIndex(postings.where("term is not null"), lengths, terms, size)
+
+
+def _scored(index: LexicalIndex, asked: DataFrame, postings: DataFrame) -> DataFrame:
+    hits = postings.join(asked, "term").crossJoin(F.broadcast(index.size))  # one row
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.groupBy("query_id", "id").agg(F.sum(part).alias("bm25_raw"))
+
+
 def scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """queries: query_id, query. query_id, id, bm25_raw of every document that shares a term with the query.
 
     A query's term counts as often as it occurs there. The queries' terms decide the join's small side at run time.
     """
     asked = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = asked.join(index.terms, "term")
-    hits = index.postings.join(asked, "term").join(index.lengths, "id").crossJoin(F.broadcast(index.size))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "id").agg(F.sum(part).alias("bm25_raw"))
+    return _scored(index, asked.join(index.terms, "term"), index.postings)
+
+
+def hits(index: LexicalIndex, query: str) -> DataFrame:
+    """id, bm25_raw of the documents that share a term with one query, from its terms' postings only."""
+    spark = index.postings.sparkSession
+    words = spark.range(1).select(F.explode(tokenize(F.lit(query))).alias("term")).groupBy("term").count().collect()  # one query's words
+    if not words:
+        return index.postings.limit(0).select("id", F.lit(0.0).alias("bm25_raw"))
+    own = F.col("term").isin([r.term for r in words])
+    times = F.element_at(F.create_map(*[F.lit(x) for r in words for x in (r.term, float(r["count"]))]), F.col("term"))
+    asked = index.terms.where(own).select(F.lit(0).alias("query_id"), "term", times.alias("times"), "idf")
+    return _scored(index, F.broadcast(asked), index.postings.where(own)).select("id", "bm25_raw")  # a row per word of the query
 
 
 def top(index: LexicalIndex, query: str, k: int, candidates: DataFrame | None = None, key: str = "seq", condition: Column | None = None) -> DataFrame:
     """id, rank, bm25_raw, bm25_score: the k best candidates; those without a shared term follow with 0.
 
     The statistics are those of the whole corpus; conditions only choose among candidates. Scores are divided by the largest
-    kept one (by 1 if that is 0).
+    kept one (by 1 if that is 0). Documents without a shared term are looked up only if fewer than k score above 0.
     """
     spark = index.postings.sparkSession
-    asked = spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))
     pool = index.lengths.select("id") if candidates is None else candidates.where(condition if condition is not None else F.lit(True)).select(F.col(key).alias("id"))
-    scored = pool.join(scores(index, asked).drop("query_id"), "id", "left").withColumn("bm25_raw", F.coalesce("bm25_raw", F.lit(0.0)))
-    best = scored.orderBy(F.desc("bm25_raw"), "id").limit(k)
-    most = F.max("bm25_raw").over(Window.partitionBy())  # k rows
-    rank = F.row_number().over(Window.orderBy(F.desc("bm25_raw"), "id"))
-    return best.select("id", rank.alias("rank"), "bm25_raw", (F.col("bm25_raw") / F.when(most == 0, 1.0).otherwise(most)).alias("bm25_score"))
+    found = hits(index, query)
+    if candidates is not None:
+        found = found.join(pool, "id", "left_semi")
+    best = found.orderBy(F.desc("bm25_raw"), "id").limit(k).collect()  # the top-k report
+    if k and (len(best) < k or best[-1].bm25_raw <= 0):
+        rest = pool.join(found.select("id"), "id", "left_anti").orderBy("id").limit(k).collect()
+        best = sorted([(r.id, r.bm25_raw) for r in best] + [(r.id, 0.0) for r in rest], key=lambda r: (-r[1], r[0]))[:k]
+    most = max([r[1] for r in best], default=0.0) or 1.0
+    rows = [(r[0], n, r[1], r[1] / most) for n, r in enumerate(best, 1)]
+    kind = pool.schema["id"].dataType.simpleString()
+    return spark.createDataFrame(rows, f"id {kind}, rank int, bm25_raw double, bm25_score double")

@@ -36,24 +36,24 @@ def top(vectors: DataFrame, query: list[float], k: int, fetch: int | None = None
 def first_near(vectors: DataFrame, threshold: float, key: str = "seq", vector: str = "embedding", block: int = 2048) -> DataFrame:
     """left, right, similarity: of each row the first earlier one whose cosine reaches the threshold.
 
+    Vectors that are null, empty, zero or hold nulls are near nothing; vectors of different lengths aren't near one another.
     Every vector is compared with every other, as the definition asks; blocks of vectors meet in pairs, so a task holds two
     blocks, and only each block pair's first partner of a row leaves it.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    meeting = rows.select("id", "v", "b", F.explode(others).alias("o")).select("id", "v", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = rows.where(F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))).withColumn("d", F.size("v"))
+    sizes = {r.d: max(1, -(-r.n // block)) for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per length
+    if not sizes:
+        return rows.select(F.col("id").alias("left"), F.col("id").alias("right"), F.lit(0.0).alias("similarity"))
+    blocks = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("d"))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    others = F.sequence(F.lit(0), blocks - 1)
+    meeting = rows.select("id", "v", "d", "b", F.explode(others).alias("o")).select("id", "v", "d", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
 
     def compare(key_: tuple, table: pa.Table) -> pa.Table:
-        p, q = (x.as_py() for x in key_)
+        width, p, q = (x.as_py() for x in key_)
         ids, own = table.column("id").to_numpy(), table.column("b").to_numpy()
-        lists = table.column("v").to_pylist()
-        width = max((len(v) for v in lists), default=0)
-        fine = np.array([len(v) == width and None not in v and any(v) for v in lists])
-        x = np.array([v for v, ok in zip(lists, fine, strict=True) if ok], np.float64).reshape(-1, width)
-        ids, own = ids[fine], own[fine]
+        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         by = np.argsort(ids, kind="stable")
         ids, own, x = ids[by], own[by], x[by]
@@ -68,7 +68,7 @@ def first_near(vectors: DataFrame, threshold: float, key: str = "seq", vector: s
             out += zip(ids[first].tolist(), ids[at + some].tolist(), sims[some, first].tolist(), strict=True)
         return pa.table({"left": pa.array([o[0] for o in out], pa.int64()), "right": pa.array([o[1] for o in out], pa.int64()), "similarity": pa.array([o[2] for o in out], pa.float64())})
 
-    found = meeting.groupBy("p", "q").applyInArrow(compare, "left long, right long, similarity double")
+    found = meeting.groupBy("d", "p", "q").applyInArrow(compare, "left long, right long, similarity double")
     first = found.groupBy("right").agg(F.min(F.struct("left", "similarity")).alias("f"))
     return first.select(F.col("f.left").alias("left"), "right", F.col("f.similarity").alias("similarity"))
 

@@ -1,7 +1,10 @@
-"""A Spark session with the settings the operators expect."""
+"""A Spark session with the settings the operators expect, and its folder for intermediate tables."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +17,21 @@ def session(master: str | None = None, partitions: int | None = None, **more: st
     for k, v in more.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the one that spark.checkpoint.dir names; it goes when the driver ends.
+
+    Only a local session may lack that setting: it then gets a temporary folder.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="lectern-")
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder

@@ -1,6 +1,8 @@
 """Functions, sources, tables and the service on small rows."""
 
 import json
+import random
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -208,3 +210,77 @@ def test_config(tmp_path):
     with pytest.raises(ValueError):
         config.load(str(tmp_path / "e.json"))
     assert library.pushed() is None
+
+
+def packed(text, size, overlap):
+    """Brute force: whole sentences up to size words, with the last ones again up to overlap."""
+    import re
+
+    units = []
+    for s in re.split(r"(?<=[.!?])\s+|\n+", text):
+        w = s.split()
+        units += [w[k : k + size] for k in range(0, len(w), size)]
+    out, held = [], []
+    for u in units:
+        if sum(map(len, held)) + len(u) > size:
+            out.append(held)
+            back = []
+            for x in reversed(held):
+                if sum(map(len, back)) + len(x) > min(overlap, size - len(u)):
+                    break
+                back.insert(0, x)
+            held = back
+        held = [*held, u]
+    return [" ".join(" ".join(u) for u in c) for c in (*out, held) if c]
+
+
+def test_chunks_of_tokens(spark):
+    r = random.Random(3)
+    texts = ["", " \n ", "one", "word " * 50, "a b. c d! e f? " * 20, *(" ".join("w" * r.randint(1, 4) + (". " if r.random() < 0.2 else "") for _ in range(r.randint(1, 300))) for _ in range(20))]
+    df = spark.createDataFrame([(k, f"/{k}", t) for k, t in enumerate([None, *texts])], "k int, source_path string, text string")
+    for size, overlap in ((20, 5), (7, 6), (3, 0)):
+        got = {}
+        for row in chunking.by_tokens(df, size, overlap).orderBy("k", "chunk_index").collect():
+            got.setdefault(row.k, []).append(row.chunk_text)
+        assert got == {k: c for k, t in enumerate(["", *texts]) if (c := packed(t, size, overlap))}
+
+
+def test_chunks_linear(spark):
+    def took(n):
+        df = spark.createDataFrame([(f"/{n}", "A sentence of some words. " * n)], "source_path string, text string")
+        best = []
+        for _ in range(3):
+            t = time.perf_counter()
+            assert chunking.by_sentences(df).count() > 0 and chunking.by_tokens(df).count() > 0
+            best.append(time.perf_counter() - t)
+        return min(best)
+
+    assert took(16_000) < 2.2 * took(8_000) + 2
+
+
+def test_near_vectors_of_all_lengths(spark):
+    pairs = lambda rows: sorted((r.left, r.right) for r in vector.first_near(spark.createDataFrame(rows, "seq long, embedding array<double>"), 0.9, block=2).collect())
+    assert pairs([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0, 0.0])]) == [(1, 2)]
+    assert pairs([(1, []), (2, [])]) == [] == pairs([(1, None), (2, [0.0]), (3, [0.0])])
+    assert pairs([(1, [1.0]), (2, [2.0]), (3, [None]), (4, [3.0]), (5, [1.0, 1.0]), (6, [1.0, 1.1]), (7, [float("nan")])]) == [(1, 2), (1, 4), (5, 6)]
+
+
+def test_mermaid_labels(spark):
+    rows = spark.createDataFrame([('a\\b "c"\nd', "10.1/X", "W1", "n"), ("", "https://doi.org/10.1/X", "W1", "n"), (None, None, "https://o.org/W1", "n"), (None, None, None, "doi:10.2/y"), (None, None, None, "https://o.org/W2"), (None, " ", "", "path:/a/b.pdf")], "t string, d string, o string, n string")
+    got = [r[0] for r in rows.select(citations.mermaid_label(*(F.col(c) for c in "tdon"))).collect()]
+    assert got == ['a\\\\b \\"c\\" d', "10.1/x", "W1", "10.2/y", "W2", "path:/a/b.pdf"]
+
+
+def test_lexical_top(spark, tmp_path):
+    """Documents without a shared term fill up, and those whose terms weigh less than nothing come after them."""
+    from lectern.operators import lexical
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "a"), (3, ""), (4, "a c c"), (5, None), (6, "a d")], "seq long, text string")
+    index = lexical.write(docs, f"file://{tmp_path}/i")
+    top = lambda q, k, **m: [(r.id, r["rank"], round(r.bm25_raw, 4)) for r in lexical.top(index, q, k, **m).orderBy("rank").collect()]
+    raw = {t: r for t, r in ((r.term, r.idf) for r in index.terms.collect())}
+    assert top("c c", 3)[0][0] == 4 and [x[0] for x in top("c", 3)] == [4, 1, 2] and top("zzz", 2) == [(1, 1, 0.0), (2, 2, 0.0)] and top("", 1) == [(1, 1, 0.0)]
+    assert [x[0] for x in top("a", 6)] == ([3, 5, 1, 2, 4, 6] if raw["a"] < 0 else [x[0] for x in top("a", 6)])
+    assert [x[0] for x in top("c", 2, candidates=docs, condition=F.col("seq") < 4)] == [1, 2] and top("a", 0) == []
+    again = lexical.read(spark, f"file://{tmp_path}/i")
+    assert sorted(again.lengths.collect()) == sorted(index.lengths.collect()) and again.lengths.count() == 6
