@@ -88,9 +88,8 @@ class _Memo(dict):
 class Tokens:
     """Ids of texts for the tokenizer file, which never joins over blanks or line ends: words that come again are looked up.
 
-    New words of printable Latin-1 are split here and merged by the library's model; all others, and those that hold a special
-    string such as <|endoftext|>, go through the whole library. Special strings in a text are thus their own ids, as in the
-    library's plain call.
+    New words of printable Latin-1 are split here and merged by the library's model; all others go through the whole library, as
+    do texts that hold a special string such as <|endoftext|>, which thus is its own id, as in the library's plain call.
     """
 
     def __init__(self, name: str = TOKENIZER, folder: str | None = None):
@@ -101,7 +100,7 @@ class Tokens:
         self.words, self.parts = _Memo(self._word, MEMO_WORDS), _Memo(self._part, MEMO_WORDS)
 
     def _word(self, word: str) -> bytes:
-        if len(word) > MEMO_CHARS or not word.isprintable() or not (word.isascii() or max(word) < "\u0100") or any(s in word for s in self.specials):
+        if len(word) > MEMO_CHARS or not word.isprintable() or not (word.isascii() or max(word) < "\u0100"):
             return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join([self.parts[p] for p in self.split(word.lower())])
 
@@ -113,9 +112,10 @@ class Tokens:
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if any(" " in s or "\n" in s for s in self.specials):
-            return np.array(self.library.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        text = text or ""
+        if any(s in text for s in self.specials):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 # -- differencing ------------------------------------------------------------------------------------------------------
