@@ -2,13 +2,17 @@
 
 A bounded sample is cut by medians along two-means directions into lists of equal size; their means are the centroids, and
 a graph of near centroids is searched in memory. Every vector is posted to its nearest list and, if it lies near a border,
-to further lists whose centroids are about as near. A query reads the lists whose
-centroids are within a ratio of the nearest one's distance (calibrated on the sample), so an easy query reads few and a hard one many; no number of
-lists is a limit. Lists of any length are worked on in blocks of vectors against blocks of queries.
+to further lists whose centroids are about as near. A query first reads the lists whose centroids are within a ratio of the
+nearest one's distance. Its k-th distance then tells how far its neighbours may lie: it also reads every list whose region
+begins within a share of that distance (the region of a list is cut off by the plane midway between its centroid and the
+query's nearest one). So an easy query reads few lists and a hard one many; no number of lists is a limit. Ratio and share are
+calibrated on the sample. Lists of any length are worked on in blocks of vectors against blocks of queries.
 
 Distances are Euclidean, computed from differences in double precision on the original vectors. Queries that find fewer
 than k others are searched again over all lists.
 
+The number of lists follows the vectors up to MAX_LISTS, which is what centroids in memory allow; beyond, lists grow.
+
 Defined results: a vector that is null, zero, of another length than most, or holding null or non-finite components takes
 no part, nor does a row without vec_id; rows with the query's vec_id aren't candidates; a repeated vec_id counts once, by
 its nearest vector, and as a query by its least; ties go to the smaller vec_id; an empty table gives no rows. Extra columns
@@ -28,11 +32,13 @@ from pyspark.sql import functions as F
 from .common import materialise, small_batches, table
 
 #: The sample that lists are fitted on, vectors a list should have, and lists at most (beyond, lists grow).
-SAMPLE, LIST_SIZE, MAX_LISTS = 32_768, 200, 4096
+SAMPLE, LIST_SIZE, MAX_LISTS = 32_768, 200, 8192
 #: Border vectors: lists at most, and how much further than the nearest their centroids may be.
 REPLICAS, NEAR = 4, 1.03
 #: The ratio is the least with which CALIBRATE queries of the sample find this share of their neighbours in the sample.
 RECALL, CALIBRATE = 0.97, 512
+#: The share of the k-th distance is the least with which they find this share of their neighbours.
+WIDE_RECALL = 0.995
 NEIGHBOURS, VECTOR_BLOCK, QUERY_BLOCK = 24, 4096, 1024
 
 
@@ -95,6 +101,21 @@ class Lists:
         return np.nonzero(np.isfinite(dist) & (dist <= ratio * dist.min(1)[:, None]))
 
 
+    def begins(self, x: np.ndarray) -> np.ndarray:
+        """Of each query and list, how far the list's region lies: nothing that is nearest to its centroid is nearer than that."""
+        norms = np.square(self.centroids).sum(1)
+        square = np.square(x).sum(1)[:, None] + norms[None, :] - 2 * x @ self.centroids.T
+        own = square.argmin(1)
+        apart = np.sqrt(np.maximum(norms[own][:, None] + norms[None, :] - 2 * self.centroids[own] @ self.centroids.T, 1e-24))
+        return np.maximum(0, square - square[np.arange(len(x)), own][:, None]) / (2 * apart)
+
+    def widen(self, x: np.ndarray, far: np.ndarray, ratio: float, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """(place in x, list): lists that queries with k-th distances ``far`` read beside those of ``probe``."""
+        more = self.begins(x) <= share * far[:, None]
+        more[self.probe(x, ratio)] = False
+        return np.nonzero(more)
+
+
 def _halves(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Of each row whether it lies on the upper side of the median along the line between two means."""
     a, b = x[rng.integers(len(x))], x[rng.integers(len(x))]
@@ -130,13 +151,14 @@ def train(sample: np.ndarray, lists: int, seed: int = 11) -> Lists:
     return Lists(centroids, np.concatenate([near, ring], 1), np.unique(rng.integers(0, k, min(k, 32))))
 
 
-def calibrate(lists: Lists, sample: np.ndarray, k: int) -> float:
-    """The ratio of distances within which queries of the sample find RECALL of their k nearest in the sample.
+def calibrate(lists: Lists, sample: np.ndarray, k: int) -> tuple[float, float]:
+    """The ratio of distances within which queries of the sample find RECALL of their k nearest in the sample, and the share
+    of their k-th distance within which they find WIDE_RECALL.
 
     Neighbours in the sample lie further apart than in all rows, so it errs on the side of more lists.
     """
     if len(sample) < 2:
-        return 1.0
+        return 1.0, 1.0
     queries = sample[:: max(1, len(sample) // CALIBRATE)]
     norms, k = np.square(sample).sum(1), min(k + 1, len(sample))
     near = np.empty((len(queries), k), np.int64)
@@ -147,7 +169,10 @@ def calibrate(lists: Lists, sample: np.ndarray, k: int) -> float:
     d = np.sqrt(np.maximum(0, np.square(queries).sum(1)[:, None] + np.square(lists.centroids).sum(1)[None, :] - 2 * queries @ lists.centroids.T))
     need = np.full(len(flat), np.inf)
     np.minimum.at(need, who, d[who // k, where] / np.maximum(d.min(1), 1e-12)[who // k])
-    return float(max(1.0, np.quantile(need, RECALL, method="higher")) * (1 + 1e-9))
+    far = np.sqrt(np.square(sample[near] - queries[:, None, :]).sum(2)).max(1)
+    reach = np.full(len(flat), np.inf)
+    np.minimum.at(reach, who, lists.begins(queries)[who // k, where] / np.maximum(far, 1e-12)[who // k])
+    return tuple(float(q * (1 + 1e-9)) for q in (max(1.0, np.quantile(need, RECALL, method="higher")), np.quantile(reach, WIDE_RECALL, method="higher")))
 
 
 # -- tables ------------------------------------------------------------------------------------------------------------
@@ -175,8 +200,11 @@ def _counts(df: DataFrame, k: int, block: int) -> list[int]:
     return out
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", ratio: float | None = None, list_size: int = LIST_SIZE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query (is_query: a condition on vec_id)."""
+def nearest(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", ratio: float | None = None, share: float | None = None, list_size: int = LIST_SIZE) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query (is_query: a condition on vec_id).
+
+    ratio, share: in place of the calibrated ones; an infinite ratio reads all lists, a negative share adds none.
+    """
     spark = rows.sparkSession
     small_batches(spark)
     fine = _taking_part(rows, key, vector)
@@ -190,8 +218,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id",
     sample = picked.column(1).combine_chunks()
     x = _matrix(sample, dim)
     lists = train(x, max(1, min(MAX_LISTS, round(n / list_size), -(-len(sample) // 4))))
-    if ratio is None:
-        ratio = calibrate(lists, x[np.sort(np.unique(picked.column(0).to_numpy(), return_index=True)[1])], k)
+    if ratio is None or share is None:
+        own_ratio, own_share = calibrate(lists, x[np.sort(np.unique(picked.column(0).to_numpy(), return_index=True)[1])], k)
+        ratio, share = own_ratio if ratio is None else ratio, own_share if share is None else share
     sent, kk = spark.sparkContext.broadcast(lists), len(lists.centroids)
 
     def place(how: str, ratio: float):
@@ -201,7 +230,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id",
                 for at in range(0, b.num_rows, 256):
                     part = b.slice(at, 256)
                     x = _matrix(part.column(1), dim)
-                    who, where = index.post(x) if how == "post" else index.probe(x, ratio)
+                    who, where = index.post(x) if how == "post" else index.probe(x, ratio) if how == "probe" else index.widen(x, part.column(2).to_numpy(), ratio, share)
                     for s in range(0, len(who), 4096):
                         yield pa.RecordBatch.from_arrays([pa.array(where[s : s + 4096], pa.int32()), part.column(0).take(pa.array(who[s : s + 4096])), part.column(1).take(pa.array(who[s : s + 4096]))], names=["list", "vec_id", "v"])
 
@@ -244,8 +273,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id",
     v_blocks = _counts(posted, kk, VECTOR_BLOCK)
     asked = materialise(fine.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
 
-    def run(queries: DataFrame, ratio: float) -> DataFrame:
-        probes = materialise(queries.mapInArrow(place("probe", ratio), "list int, vec_id long, v array<double>"), "probes")
+    def run(queries: DataFrame, ratio: float, how: str = "probe", before: DataFrame | None = None) -> DataFrame:
+        """The k best of each query in the lists it reads, and of those found before."""
+        probes = materialise(queries.mapInArrow(place(how, ratio), "list int, vec_id long, v array<double>"), "probes")
         q_blocks = _counts(probes, kk, QUERY_BLOCK)
         vb, qb = (F.lit(np.array(x, np.int32)) for x in (v_blocks, q_blocks))
         own = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.element_at(blocks, F.col("list") + 1)).cast("int")
@@ -253,11 +283,17 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id",
         right = posted.select("list", own(vb).alias("vb"), _spread(F.col("list"), qb).alias("qb"), F.lit(1).alias("kind"), "vec_id", "v")
         dealt = left.unionByName(right).repartition("list", "vb", "qb").sortWithinPartitions("list", "vb", "qb", "kind")
         found = dealt.mapInArrow(scan, "query_id long, vec_id long, score double")
+        if before is not None:
+            found = found.unionByName(before.select("query_id", "vec_id", "score"))
         first = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
         return materialise(first.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "found")
 
     found = run(asked, ratio)
+    if share >= 0 and not np.isinf(ratio):
+        far = found.groupBy("query_id").agg(F.max("score").alias("far"))
+        reach = asked.join(far, asked.vec_id == far.query_id).select("vec_id", "v", "far")
+        found = run(reach, ratio, "widen", found)
     enough = min(k, n - 1)
     got = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= enough)
     short = asked.join(got, asked.vec_id == got.query_id, "left_anti")
