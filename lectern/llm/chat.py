@@ -8,8 +8,8 @@ The template marks turns with control strings; control strings inside roles and
 One row per turn goes in, one formatted piece per turn comes out, without a shuffle; a conversation is its pieces in
 order, so that one holding a third of all rows is never one string or one task's memory.
 
-Defined results: null role or text is empty; a null turn comes first; rows of equal (conv_id, turn) are ordered by role, then text; a null
-conv_id is a conversation of its own; an empty table gives no rows; unknown part types raise ValueError.
+Defined results: null role or text is empty; a null turn comes first; rows of equal (conv_id, turn) are ordered by formatted
+piece, that is by role, then text; a null conv_id is a conversation of its own; an empty table gives no rows; unknown part types raise ValueError.
 """
 
 from __future__ import annotations
@@ -108,6 +108,26 @@ def parse_piece(piece: str) -> tuple[str, str]:
     return _role_back(head), unescape(rest[: -len(END) - 1])
 
 
+_PLACEHOLDER = re.compile(r"<\|(image|audio|document)_(\d+)\|>")
+
+
+def parse_parts(piece: str, attachments: list[dict]) -> tuple[str, list[dict]]:
+    """Role and typed parts of a formatted turn: non-empty texts, and for each placeholder its attachment's kind and reference.
+
+    Texts are escaped in the piece, so what looks like a placeholder in one is never taken for it.
+    """
+    head, _, rest = piece[len(START) :].partition("\n")
+    rest, at, parts = rest[: -len(END) - 1], 0, []
+    for m in (*_PLACEHOLDER.finditer(rest), None):
+        if text := rest[at : m.start() if m else len(rest)]:
+            parts.append({"type": "text", "text": unescape(text)})
+        if m:
+            found = attachments[int(m[2])]
+            parts.append({"type": found["kind"], "ref": found["ref"]})
+            at = m.end()
+    return _role_back(head), parts
+
+
 FORMATTED = "conv_id long, turn long, formatted string, loss boolean, text_start long, text_end long, attachments string, expanded_tokens long"
 
 
@@ -143,7 +163,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Parse formatted pieces again: counts and digests of each conversation.
 
     A digest runs over a conversation's turns in order, so one task reads them as a sorted stream: it holds one turn
-    and the hash states, whatever the length of the conversation.
+    and the hash states, whatever the length of the conversation. A conversation of a third of all turns is thus one task's
+    time, though not its memory: SHA-256 can't be joined from parts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
