@@ -41,21 +41,14 @@ def unique_pairs(*found: DataFrame) -> DataFrame:
     return best.select("left", "right", "b.similarity", "b.reason")
 
 
-def signature(doi: Column, title: Column, abstract: Column, body: Column) -> Column:
+def signature(doi: Column, title: Column, abstract: Column, body: Column, chars: int = SIGNATURE_CHARS) -> Column:
     """The text whose embedding stands for a paper; the body joins in if nothing else says much."""
     parts = F.filter(F.array(*[F.trim(F.coalesce(c, F.lit(""))) for c in (doi, title, abstract)]), lambda x: x != "")
     rich = F.exists(parts, lambda x: F.length(x) > BODY_NEEDED)
     alone = F.concat_ws("\n", parts)
-    more = F.concat_ws("\n", F.concat(parts, F.array(F.substring(F.coalesce(body, F.lit("")), 1, SIGNATURE_CHARS))))
-    return F.substring(F.when(rich, alone).otherwise(more), 1, SIGNATURE_CHARS)
+    more = F.concat_ws("\n", F.concat(parts, F.array(F.substring(F.coalesce(body, F.lit("")), 1, chars))))
+    return F.substring(F.when(rich, alone).otherwise(more), 1, chars)
 
 
 def without_duplicates(papers: DataFrame, pairs: DataFrame) -> DataFrame:
     return papers.join(pairs.select(F.col("right").alias("seq")), "seq", "left_anti")
-
-
-def report(papers: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row: how many files were checked, pairs and files to skip, all as JSON."""
-    named = pairs.join(papers.select(F.col("seq").alias("left"), F.col("source_path").alias("source")), "left").join(papers.select(F.col("seq").alias("right"), F.col("source_path").alias("duplicate")), "right")
-    made = named.agg(F.array_sort(F.collect_list(F.struct("source", "duplicate", "similarity", "reason"))).alias("duplicate_pairs"), F.array_sort(F.collect_set("duplicate")).alias("skipped_files"))
-    return made.crossJoin(papers.agg(F.count(F.lit(1)).alias("checked_files"))).select(F.to_json(F.struct("checked_files", "duplicate_pairs", "skipped_files")).alias("report"))

@@ -144,18 +144,8 @@ def outcome(has_doi: Column, accepted_: Column, failed: Column, force: bool = Fa
     return F.when(done, "skipped").when(accepted_, "updated").when(failed, "failed").when(has_doi, gone).otherwise("skipped")
 
 
-def first_answer(*answers: DataFrame, key: str = "source_path") -> DataFrame:
-    """key, work: of each target the accepted work of the first provider that has one."""
-    rows = None
-    for k, df in enumerate(answers):
-        df = df.where("work is not null").select(key, "work", F.lit(k).alias("o"))
-        rows = df if rows is None else rows.unionByName(df)
-    return rows.groupBy(key).agg(F.min_by("work", "o").alias("work"))
-
-
-def with_abstracts(chunks: DataFrame, papers: DataFrame) -> DataFrame:
-    """chunks with one chunk for each paper's abstract, in place of an earlier one."""
-    made = papers.where(T.blank(F.col("abstract")).isNotNull()).select(
-        T.abstract_id(F.col("source_path")).alias("chunk_id"), F.col("seq"), F.concat_ws("\n\n", T.blank(F.col("title")), F.col("abstract")).alias("text"), F.lit("abstract").alias("chunk_type"), *[c for c in ("source_path", "file_name", "title", "doi", "year", "authors", "tags") if c in papers.columns]
-    )
-    return chunks.join(made.select("chunk_id"), "chunk_id", "left_anti").unionByName(made, allowMissingColumns=True)
+def abstracts(papers: DataFrame) -> DataFrame:
+    """A chunk for each paper that has an abstract: its id depends on the path only, so a new abstract replaces the old one."""
+    head = F.coalesce(T.blank(F.trim("title")), T.blank(F.trim("file_name")))
+    kept = [c for c in ("seq", "source_path", "file_name", "title", "doi", "year", "authors", "tags", *FIELDS[4:]) if c in papers.columns]
+    return papers.where(T.blank(F.trim("abstract")).isNotNull()).select(T.abstract_id(F.col("source_path")).alias("chunk_id"), F.concat_ws("\n\n", head, F.trim("abstract")).alias("text"), F.lit("abstract").alias("chunk_type"), *kept)

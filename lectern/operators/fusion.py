@@ -49,6 +49,9 @@ def group_by_paper(ranked: DataFrame, top_k: int, paper: Column | None = None) -
 
 # -- scores of a judging model -----------------------------------------------------------------------------------------
 
+#: What the judging model is asked, the chat template around it, and how much of a document it reads.
+JUDGE = 'Judge whether the Document meets the requirements based on the Query and the Instruct provided. Note that the answer can only be "yes" or "no".'
+PROMPT_HEAD, PROMPT_USER, PROMPT_TAIL = "<|im_start|>system\n", "<|im_end|>\n<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n"
 PROMPT_CHARS = 4000
 
 
@@ -75,8 +78,7 @@ def judge_score(top: Column, answer: Column) -> Column:
     return F.coalesce(yes_share(top), said_yes(answer))
 
 
-def prompt(system: str, instruction: str, query: Column, document: Column) -> Column:
+def prompt(instruction: str, query: Column, document: Column) -> Column:
     """A raw chat prompt that asks for yes or no about at most PROMPT_CHARS characters."""
-    head = f"<|im_start|>system\n{system}<|im_end|>\n<|im_start|>user\n<Instruct>: {instruction}\n<Query>: "
-    tail = "<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n"
-    return F.concat(F.lit(head), query, F.lit("\n<Document>: "), F.substring(F.coalesce(document, F.lit("")), 1, PROMPT_CHARS), F.lit(tail))
+    head = f"{PROMPT_HEAD}{JUDGE}{PROMPT_USER}<Instruct>: {instruction}\n<Query>: "
+    return F.concat(F.lit(head), query, F.lit("\n<Document>: "), F.substring(F.coalesce(document, F.lit("")), 1, PROMPT_CHARS), F.lit(PROMPT_TAIL))

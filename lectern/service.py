@@ -8,47 +8,69 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from datetime import datetime, timezone
+from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
 from .functions import text as T
-from .operators import chunking, citations, dedup, fusion, lexical, library, vector
-from .sources.files import append_log
+from .operators import chunking, citations, dedup, enrich, fusion, lexical, library, vector
+from .session import scratch
+from .sources.files import add_line, write_lines
 from .sources.snapshots import SnapshotTable
 
+#: A paper's chunks are numbered within so many bits of seq.
+CHUNK_BITS = 24
+
 
 class Library:
-    def __init__(self, spark: SparkSession, settings: Settings, embed: Callable[[str], list[float]] | None = None, judge: Column | None = None):
+    """embed: (rows, text column) -> rows with ``embedding``; judge: (rows with text, query) -> rows with ``rerank_score``."""
+
+    def __init__(self, spark: SparkSession, settings: Settings, embed: Callable[[DataFrame, str], DataFrame] | None = None, judge: Callable[[DataFrame, str], DataFrame] | None = None):
         self.spark, self.settings, self.judge = spark, settings, judge
-        self.chunks = SnapshotTable(spark, settings.table("chunks"))
-        self.embed_query = embed or self._hashed
+        self.chunks = SnapshotTable(spark, settings.table("chunks"), within="source_path")
+        self.embed = embed or (lambda rows, text: vector.hashed_embeddings(rows, settings.embedding.dimension, text))
         self._index: tuple[int, lexical.LexicalIndex] | None = None
 
     # -- writing -------------------------------------------------------------------------------------------------------
 
-    def add_papers(self, papers: DataFrame) -> int:
-        """papers: seq, source_path, file_name, text and metadata. Earlier chunks of the same papers, abstracts too, are replaced."""
-        cut = chunking.by_words(papers, self.settings.indexing.chunk_size, self.settings.indexing.chunk_overlap)
-        rows = cut.withColumn("text", F.col("chunk_text")).drop("chunk_text").withColumn("seq", F.col("seq") * 1_000_000 + F.col("chunk_index"))
-        new = vector.hashed_embeddings(rows, self.settings.embedding.dimension)
-        old = self.chunks.read()
-        if old is None:
-            return self.chunks.replace(new)
-        kept = old.join(papers.select("source_path").distinct(), "source_path", "left_anti")
-        return self.chunks.replace(kept.unionByName(new, allowMissingColumns=True))
+    def add_papers(self, papers: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+        """papers: seq, source_path, file_name, text and metadata. Earlier chunks of the same papers (and of ``gone``'s), abstracts
+        too, are replaced. Returns the new chunks."""
+        cut = chunking.by_tokens(papers, self.settings.indexing.chunk_size, self.settings.indexing.chunk_overlap)
+        rows = cut.withColumnRenamed("chunk_text", "text").withColumn("seq", F.shiftleft("seq", CHUNK_BITS) + F.col("chunk_index"))
+        path = scratch(self.spark, "chunks")
+        self.embed(rows, "text").write.mode("overwrite").parquet(path)  # a service is asked once
+        new = self.spark.read.parquet(path)
+        self.chunks.merge(new, on="source_path", gone=(papers if gone is None else gone).select("source_path"))
+        return new
+
+    def add_abstracts(self, papers: DataFrame) -> None:
+        """A chunk for each paper's abstract, in place of an earlier one; its seq is the paper's last."""
+        made = enrich.abstracts(papers).withColumn("seq", F.shiftleft("seq", CHUNK_BITS) + F.lit((1 << CHUNK_BITS) - 1))
+        path = scratch(self.spark, "abstracts")
+        self.embed(made, "text").write.mode("overwrite").parquet(path)
+        self.chunks.merge(self.spark.read.parquet(path))
 
     def delete(self, selector: str, limit: int | None = 10) -> list[dict]:
+        """The papers that went; their files are no longer known either, so the next run may index them again."""
         kept, gone = library.deleted(self._rows(), selector, limit)
-        rows = [r.asDict() for r in gone.select("paper", "title", "chunk_count").collect()]
+        rows = [r.asDict() for r in gone.select("paper", "title", "chunk_count", "source_path").collect()]
         if rows:
-            self.chunks.replace(kept)
-        return rows
+            paths = self.spark.createDataFrame([(r["source_path"],) for r in rows], "source_path string")
+            self.chunks.merge(self._rows().limit(0), on="source_path", gone=paths)
+            known = SnapshotTable(self.spark, self.settings.table("manifest"), key="path")
+            if known.version():
+                known.delete_ids([r["source_path"] for r in rows])
+        return [{k: r[k] for k in ("paper", "title", "chunk_count")} for r in rows]
 
     def refresh(self, metadata: DataFrame, columns: tuple[str, ...], prune: bool = False) -> int:
-        """Correct metadata without touching texts or embeddings."""
-        return self.chunks.replace(library.refreshed(self._rows(), metadata, columns, prune))
+        """Correct metadata without touching texts or embeddings; only the buckets of the named papers are written."""
+        own = self._rows()
+        own = own.withColumns({c: F.lit(None).cast(metadata.schema[c].dataType) for c in columns if c not in own.columns})
+        own = own.join(metadata.select("source_path"), "source_path", "left_semi")
+        return self.chunks.merge(library.refreshed(own, metadata, columns, prune), on="source_path")
 
     # -- searching -----------------------------------------------------------------------------------------------------
 
@@ -58,19 +80,13 @@ class Library:
             raise LookupError("nothing is indexed yet")
         return rows
 
-    def _hashed(self, query: str) -> list[float]:
-        one = self.spark.range(1).select(F.lit(query).alias("text"))
-        return vector.hashed_embeddings(one, self.settings.embedding.dimension).first().embedding
+    def embed_query(self, query: str) -> list[float]:
+        return self.embed(self.spark.range(1).select(F.lit(query).alias("text")), "text").first().embedding
 
     def lexical_index(self) -> lexical.LexicalIndex:
         version = self.chunks.version()
         if self._index is None or self._index[0] != version:
-            def keep(df: DataFrame, name: str) -> DataFrame:
-                path = self.settings.table(f"{name}/v={version}")
-                df.write.mode("overwrite").parquet(path)
-                return self.spark.read.parquet(path)
-
-            self._index = (version, lexical.build(self._rows(), keep=keep))
+            self._index = (version, lexical.write(self._rows(), self.settings.table(f"lexical/v={version}")))
         return self._index[1]
 
     def search(self, query: str, top_k: int | None = None, group_by_paper: bool = False, max_text_chars: int | None = None, **filters) -> list[dict]:
@@ -80,13 +96,25 @@ class Library:
         near = vector.top(rows, self.embed_query(query), r.vector_top_k, max(r.vector_top_k, 3 * r.default_top_k), where=where, residual=library.matches(**filters))
         words = lexical.top(self.lexical_index(), query, r.bm25_top_k, rows, condition=library.matches(**filters))
         fused = fusion.fuse(near, words, r.fusion, r.rrf_k, (r.vector_weight, r.bm25_weight))
-        ranked = rows.join(F.broadcast(fused), rows.seq == fused.id).drop("id", "embedding")  # at most two short lists
+        ids = [x.id for x in fused.select("id").collect()]  # two short lists
+        texts = rows.where(F.col("seq").isin(ids)).drop("embedding")
+        ranked = texts.join(F.broadcast(fused), texts.seq == fused.id).drop("id")
         if self.settings.reranker.enabled and self.judge is not None:
-            ranked = fusion.rerank(ranked, self.judge, self.settings.reranker.top_k)
+            ranked = self._judged(ranked, query)
         ranked = fusion.group_by_paper(ranked, k) if group_by_paper else ranked.orderBy("rank").limit(k)
         self._note("search", query=query, top_k=k)
         return self._shown(ranked.orderBy("rank"), max_text_chars)
 
+    def _judged(self, ranked: DataFrame, query: str) -> DataFrame:
+        """ranked by the judging model; as it is if the model can't be asked at all."""
+        most = self.settings.reranker.top_k
+        try:
+            found = self.judge(ranked.where(F.col("rank") <= most), query).select("seq", "rerank_score").collect()  # top_k rows
+        except Exception:  # noqa: BLE001  a search without its reranker is better than none
+            return ranked
+        scores = F.create_map(*[F.lit(x) for r in found for x in (r.seq, r.rerank_score)])
+        return fusion.rerank(ranked, F.element_at(scores, F.col("seq")), most) if found else ranked
+
     def search_by_metadata(self, limit: int = 20, group_by_paper: bool = False, max_text_chars: int | None = None, **filters) -> list[dict]:
         self._note("search_by_metadata", limit=limit)
         return self._shown(library.metadata_search(self._rows(), limit, group_by_paper, **filters), max_text_chars)
@@ -96,8 +124,8 @@ class Library:
         return [r.asDict(recursive=True) for r in out.collect()]
 
     def _note(self, event: str, **payload) -> None:
-        row = [(datetime.now(timezone.utc).isoformat(), event, json.dumps(payload))]
-        append_log(self.spark.createDataFrame(row, "timestamp string, event string, payload string").coalesce(1), self.settings.stats_path)
+        row = {"timestamp": datetime.now(timezone.utc).isoformat(), "event": event, "payload": json.dumps(payload)}
+        add_line(self.spark, self.settings.stats_path, json.dumps(row))
 
     # -- looking -------------------------------------------------------------------------------------------------------
 
@@ -131,18 +159,20 @@ class Library:
     def duplicates(self) -> DataFrame:
         rows = library.papers(self._rows()).withColumn("seq", F.col("first_seq"))
         found = [dedup.by_doi(rows), dedup.by_title_year(rows)]
-        if self.settings.dedup.semantic:
-            found.append(dedup.semantic(self._rows().where("chunk_index = 0"), self.settings.dedup.threshold))
+        if self.settings.dedup.semantic_enabled:
+            found.append(dedup.semantic(self._rows().where("chunk_index = 0"), self.settings.dedup.similarity_threshold))
         return dedup.unique_pairs(*found)
 
-    def citation_graph(self) -> str:
-        """Writes nodes and edges as JSON and returns the Mermaid text."""
+    def citation_graph(self) -> dict:
+        """Writes nodes and edges as JSON and the graph as Mermaid text, line by line."""
         rows = library.papers(self._rows(), ("openalex_id", "referenced_dois", "referenced_work_ids", "cited_by_count")).withColumn("seq", F.col("first_seq"))
         g = self.settings.citation_graph
         citations.nodes(rows, g.include_external_nodes).write.mode("overwrite").json(f"{g.path}/nodes")
         citations.edges(rows, g.include_external_nodes).write.mode("overwrite").json(f"{g.path}/edges")
         lines = citations.mermaid(rows, g.include_external_nodes).orderBy("part", "k", "k2")
-        return "\n".join(["```mermaid", "graph TD", *(r.line for r in lines.toLocalIterator()), "```"])
+        n = write_lines(self.spark, g.mermaid_path, chain(["```mermaid", "graph TD"], (r.line for r in lines.toLocalIterator()), ["```"])) - 3
+        edges = self.spark.read.schema("source string, target string").json(f"{g.path}/edges").count()
+        return {"nodes": n - edges, "edges": edges, "path": g.path, "mermaid_path": g.mermaid_path}
 
     def info(self) -> dict:
         s = self.settings

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+import time
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +15,41 @@ FAILURE = "timestamp STRING, file STRING, error_type STRING, error STRING"
 
 
 def listing(spark: SparkSession, root: str, tags: tuple[str, ...] = (), pattern: str = "*.[pP][dD][fF]", content: bool = False) -> DataFrame:
-    """path, root_path, tags, size, mtime (and content, digest) of the files below a root, in path order as seq asks."""
+    """path, root_path, tags, size, mtime (and content, digest) of the files below a root; files without a byte are left out."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     out = rows.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.lit(root).alias("root_path"), F.array(*[F.lit(t) for t in tags]).cast("array<string>").alias("tags"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), *([F.col("content"), F.sha2("content", 256).alias("digest")] if content else []))
     return out
 
 
+def _path(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _path(spark, path)
+    return fs.exists(place)
+
+
+def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, size, mtime, content, digest of the named files only."""
+    if not paths:
+        return spark.createDataFrame([], "path string, size long, mtime timestamp, content binary, digest string")
+    rows = spark.read.format("binaryFile").load(paths)
+    return rows.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content", F.sha2("content", 256).alias("digest"))
+
+
 def markers(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """dir: the directories that hold a marker file."""
+    """dir: the directories that hold a marker file. Hidden ones (beginning with . or _), which Spark doesn't list, are
+    looked for in one listing on the driver, which keeps the hits only."""
+    if name.startswith((".", "_")):
+        fs, place = _path(spark, root)
+        found, every = [], fs.listFiles(place, True)
+        while every.hasNext():
+            at = every.next().getPath()
+            if at.getName() == name:
+                found.append((at.getParent().toUri().getPath(),))
+        return spark.createDataFrame(found, "dir string").distinct()
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
     return rows.select(F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "/[^/]*$", "").alias("dir")).distinct()
 
@@ -28,27 +58,44 @@ def one_file(spark: SparkSession, path: str) -> DataFrame:
     """A listing of a single PDF; an error if it isn't one."""
     if not path.lower().endswith(".pdf"):
         raise ValueError(f"not a PDF: {path}")
-    rows = listing(spark, path)
-    if rows.isEmpty():
+    if not exists(spark, path):
         raise FileNotFoundError(path)
-    return rows
+    return listing(spark, path)
+
+
+def marked_parents(spark: SparkSession, path: str, roots: list[str], name: str) -> list[str]:
+    """The directories above a file, up to its root (or the top), that hold a marker."""
+    above = [r.rstrip("/") for r in roots if path.startswith(r.rstrip("/") + "/")]
+    found, at = [], path.rpartition("/")[0]
+    while at:
+        if exists(spark, f"{at}/{name}"):
+            found.append(at)
+        if at in above:
+            break
+        at = at.rpartition("/")[0]
+    return found
 
 
-def extract(files: DataFrame, reader: Callable[[bytes], tuple[str, int]]) -> DataFrame:
-    """path, text, page_count, error of each file's content. A file that fails has an error; the others go on."""
+def extract(files: DataFrame, reader: Callable[[bytes], tuple]) -> DataFrame:
+    """path, text, page_count, pdf_title, pdf_author, error of each file's content.
+
+    reader: content -> (text, pages) or (text, pages, {"title", "author"}). A file that fails has an error; the others go on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for content in b.column(1).to_pylist():
                 try:
-                    text, pages = reader(content)
-                    out.append((text.strip(), pages, None))
+                    text, pages, *more = reader(content)
+                    info = more[0] if more else {}
+                    out.append((text.strip(), pages, info.get("title"), info.get("author"), None))
                 except Exception as e:  # noqa: BLE001  any failure belongs to its file
-                    out.append((None, None, f"{type(e).__name__}: {e}"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string())], names=["path", "text", "page_count", "error"])
+                    out.append((None, None, None, None, f"{type(e).__name__}: {e}"))
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[k] for o in out], t) for k, t in enumerate(kinds))], names=["path", "text", "page_count", "pdf_title", "pdf_author", "error"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, text string, page_count int, error string")
+    return files.select("path", "content").mapInArrow(run, "path string, text string, page_count int, pdf_title string, pdf_author string, error string")
 
 
 def paged(pages: list[str]) -> str:
@@ -66,14 +113,42 @@ def metadata_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve_metadata(files: DataFrame, metadata: DataFrame) -> DataFrame:
-    """files with value: by resolved path, else by file name (unless the entry names another path), else by raw path."""
+    """files with value: by path, else by file name (unless the entry names another path), else by raw_path if there is that column."""
     name = F.substring_index("path", "/", -1)
     own = metadata.select("meta_key", "value", F.try_variant_get("value", "$.source_path", "string").alias("owner"))
     by_path = own.select(F.col("meta_key").alias("path"), F.col("value").alias("v1"))
     by_name = own.select(F.col("meta_key").alias("__name"), F.col("value").alias("v2"), F.col("owner").alias("__owner"))
     j = files.withColumn("__name", name).join(by_path, "path", "left").join(by_name, "__name", "left")
-    fits = F.col("__owner").isNull() | (F.col("__owner") == F.col("path"))
-    return j.withColumn("value", F.coalesce("v1", F.when(fits, F.col("v2")))).drop("v1", "v2", "__name", "__owner")
+    fits = F.coalesce(F.col("__owner") == "", F.lit(True)) | (F.col("__owner") == F.col("path"))
+    found = F.coalesce("v1", F.when(fits, F.col("v2")))
+    if "raw_path" in files.columns:
+        raw = metadata.select(F.col("meta_key").alias("raw_path"), F.col("value").alias("v3"))
+        return j.join(raw, "raw_path", "left").withColumn("value", F.coalesce(found, "v3")).drop("v1", "v2", "v3", "__name", "__owner")
+    return j.withColumn("value", found).drop("v1", "v2", "__name", "__owner")
+
+
+def metadata_key(files: DataFrame, metadata: DataFrame) -> DataFrame:
+    """files with meta_key, under which an entry is written: the path if it has one, else the name if its entry is this file's, else the path."""
+    own = metadata.select("meta_key", F.try_variant_get("value", "$.source_path", "string").alias("__mk_owner"))
+    j = files.withColumn("__mk_name", F.substring_index("path", "/", -1))
+    j = j.join(own.select(F.col("meta_key").alias("path"), F.lit(True).alias("__mk_has")), "path", "left").join(own.select(F.col("meta_key").alias("__mk_name"), "__mk_owner", F.lit(True).alias("__mk_named")), "__mk_name", "left")
+    fits = F.col("__mk_has").isNull() & F.coalesce("__mk_named", F.lit(False)) & (F.coalesce(F.col("__mk_owner") == "", F.lit(True)) | (F.col("__mk_owner") == F.col("path")))
+    return j.withColumn("meta_key", F.when(fits, F.col("__mk_name")).otherwise(F.col("path"))).drop("__mk_name", "__mk_owner", "__mk_has", "__mk_named")
+
+
+def save_metadata(rows: DataFrame, path: str) -> None:
+    """rows (meta_key, entry as JSON) as one JSON object in a file, written row by row."""
+    spark = rows.sparkSession
+    fs, place = _path(spark, path)
+    part = place.suffix(".part")
+    out = spark._jvm.java.io.OutputStreamWriter(fs.create(part, True), "UTF-8")
+    out.write("{")
+    for k, r in enumerate(rows.orderBy("meta_key").toLocalIterator()):
+        out.write(("," if k else "") + "\n  " + json.dumps(r.meta_key, ensure_ascii=False) + ": " + r.entry)
+    out.write("\n}\n")
+    out.close()
+    fs.delete(place, False)
+    fs.rename(part, place)
 
 
 def failures(spark: SparkSession, path: str) -> DataFrame:
@@ -81,6 +156,21 @@ def failures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FAILURE).option("mode", "DROPMALFORMED").json(path).where("file is not null").select("file").distinct()
 
 
+def write_lines(spark: SparkSession, path: str, lines: Iterable[str]) -> int:
+    """A text file of lines, written as they come; their number."""
+    fs, place = _path(spark, path)
+    out, n = spark._jvm.java.io.OutputStreamWriter(fs.create(place, True), "UTF-8"), 0
+    for n, line in enumerate(lines, 1):
+        out.write(line + "\n")
+    out.close()
+    return n
+
+
+def add_line(spark: SparkSession, folder: str, line: str) -> None:
+    """A line more in a log: a file of its own in the log's folder, without a Spark job."""
+    write_lines(spark, f"{folder.rstrip('/')}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.json", [line])
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
@@ -88,3 +178,16 @@ def append_log(rows: DataFrame, path: str) -> None:
 def without_failure(lines: DataFrame, file: str) -> DataFrame:
     """Lines of a failure log without those of one file; lines that can't be read stay."""
     return lines.where(F.coalesce(F.get_json_object("value", "$.file") != file, F.lit(True)))
+
+
+def clear_failures(spark: SparkSession, path: str, done: DataFrame) -> None:
+    """The log at path without the files of done (path); it is written anew and then takes the old one's place."""
+    fs, place = _path(spark, path)
+    if not fs.exists(place):
+        return
+    lines = spark.read.text(path).withColumn("path", F.get_json_object("value", "$.file"))
+    kept = lines.join(done.select("path").distinct(), "path", "left_anti").select("value")
+    new = place.suffix(".new")
+    kept.write.mode("overwrite").text(new.toString())
+    fs.delete(place, True)
+    fs.rename(new, place)
