@@ -714,7 +714,7 @@ def test_byte_bpe(spark, odd_dir):
 
 def test_byte_bpe_higher_order(spark):
     ranks = byte_bpe.load_ranks()
-    words = sorted({w for _, t in documents(SF)[:5] for w in byte_bpe.regex.findall(byte_bpe.pattern(), t)})[:150] + ["", "größe", "漢字", "aaaaaaaa"]
+    words = sorted({w for _, t in documents(SF)[:60] for w in byte_bpe.regex.findall(byte_bpe.pattern(), t)})[:4000] + ["", "größe", "漢字", "aaaaaaaa", "x" * 64, "😀👨", "\x00\x7f"]
     df = spark.createDataFrame([(w,) for w in [*words, None, words[0]]], "word string")
     got = byte_bpe.decode_ids_sql(byte_bpe.encode_words_sql(df, ranks), ranks).collect()
     assert {r.word: list(r.ids) for r in got} == {w: byte_bpe.merge_word(w.encode(), ranks) if w else [] for w in words}
