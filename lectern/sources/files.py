@@ -23,7 +23,9 @@ def listing(spark: SparkSession, root: str, tags: tuple[str, ...] = (), pattern:
 
 def _path(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    # local files without checksums beside them: people edit the metadata file, and its checksum would no longer hold
+    return fs.getRawFileSystem() if fs.getUri().getScheme() == "file" else fs, place
 
 
 def exists(spark: SparkSession, path: str) -> bool:
