@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder (as a URI) below the one the cluster names in spark.checkpoint.dir.
+    """A fresh folder (as a URI) below the one the cluster names in spark.checkpoint.dir. It goes when the driver ends.
 
     Only a local session may lack that setting: it then gets a temporary folder of its own.
     """
@@ -21,15 +21,32 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.lectern.shared.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, place = _place(spark, folder)
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+    return folder
+
+
+def _place(spark: SparkSession, folder: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them again."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_dir(spark, name)
+    df.write.parquet(f"{folder}/rows")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/rows")
+    out._lectern_folder = folder
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what materialise wrote for a table that nothing reads any more."""
+    fs, place = _place(df.sparkSession, df._lectern_folder)
+    fs.delete(place, True)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,5 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         if stats[0] == 0 or tuple(stats) == sign:
             break
         sign = tuple(stats)
-        now = materialise(_star(_star(now, True), False), "edges")
+        before, now = now, materialise(_star(_star(now, True), False), "edges")
+        discard(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
