@@ -150,6 +150,48 @@ def test_near_copies_long(spark, monkeypatch):
         assert {x.doc_id for x in kept.collect()} == want
 
 
+def test_near_copies_code(spark):
+    """A pair that shares no view's fingerprint meets by the covering code; equal fingerprints alone make no copy."""
+    head = " ".join(["a297 b297 c297 d297 e297"] * 40)
+    tail = " ".join(f"{c}297" for c in "fghijklmnopqrs")
+    rows = [(0, f"{head} {tail}"), (1, f"{head} {tail[:-9]}y297 z297"), (2, f"{head} " + " ".join(f"o{k}" for k in range(14)))]
+    (code, *views), (other, *others) = (near_copies.describe(t)[0] for _, t in rows[:2])
+    assert simhash_bits(code, other) <= near_copies.WITHIN and not set(enumerate(views)) & set(enumerate(others))
+    assert simhash_bits(code, near_copies.describe(rows[2][1])[0][0]) <= near_copies.WITHIN
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id for x in kept.collect()} == groups(rows) == {0, 2}
+
+
+def simhash_bits(a, b):
+    return ((a ^ b) & (1 << 64) - 1).bit_count()
+
+
+def test_near_copies_code_alone(spark, monkeypatch):
+    """Without the views, all near copies whose fingerprints are within two bits are joined still."""
+    import random
+
+    monkeypatch.setattr(near_copies, "ROUNDS", ((0, 1),))
+    r = random.Random(6)
+    rows = []
+    for k in range(0, 120, 4):
+        base = [f"w{k}x{j}" for j in range(400)]
+        for j in range(4):
+            at = r.randrange(400)
+            rows.append((k + j, " ".join([*base[:at], f"y{k}x{j}", *base[at + 1 :]])))
+    r.shuffle(rows)
+    prints = {i: near_copies.describe(t)[0][0] for i, t in rows}
+    root = {i: i for i in prints}
+    for _ in prints:
+        for a in sorted(prints):
+            for b in range(a // 4 * 4, a):
+                if simhash_bits(prints[a], prints[b]) <= 2:
+                    root[a] = root[b] = min(root[a], root[b])
+    want = set(root.values())
+    assert 30 < len(want) < 110
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id for x in kept.collect()} == want
+
+
 def test_pii_stage(stages):
     before, after = (by_id(x) for x in stages[3])
     assert {i: r.text for i, r in after.items()} == {i: pii.redacted(r.text) for i, r in before.items()}
