@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -89,9 +89,7 @@ SELECT item_id, doc_id, rank, round(s, 6) AS bm25_raw FROM (SELECT *, row_number
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best documents of every benchmark text, in one job."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    found = lexical.scores(bm25_index(spark, sf_dir), asked).withColumn("bm25_raw", r6("bm25_raw"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25_raw"), "id"))
-    return found.withColumn("rank", rank).where("rank <= 3").select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", "bm25_raw")
+    return lexical.best(bm25_index(spark, sf_dir), asked, 3).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", "bm25_raw")
 
 
 # -- vectors and fusion ------------------------------------------------------------------------------------------------
