@@ -33,16 +33,28 @@ def top(vectors: DataFrame, query: list[float], k: int, fetch: int | None = None
     return best.orderBy(F.desc("vector_score"), key).limit(k).select(F.col(key).alias("id"), rank.alias("rank"), "vector_score")
 
 
-def first_near(vectors: DataFrame, threshold: float, key: str = "seq", vector: str = "embedding", block: int = 2048) -> DataFrame:
+#: Bounds of near pairs: blocks while each holds at most so many bytes of vectors, bytes of a strip of products.
+BLOCKS, BLOCK_BYTES, STRIP_BYTES = 16, 16 << 20, 32 << 20
+
+
+def blocks_for(n: int, d: int, width: int) -> int:
+    """Blocks of n vectors of d components of so many bytes: a number that doesn't grow with n while a block fits."""
+    return max(1, min(BLOCKS, -(-n // 256)), -(-n * d * width // BLOCK_BYTES))
+
+
+def first_near(vectors: DataFrame, threshold: float, key: str = "seq", vector: str = "embedding", block: int | None = None) -> DataFrame:
     """left, right, similarity: of each row the first earlier one whose cosine reaches the threshold.
 
     Vectors that are null, empty, zero or hold nulls are near nothing; vectors of different lengths aren't near one another.
     Every vector is compared with every other, as the definition asks; blocks of vectors meet in pairs, so a task holds two
-    blocks, and only each block pair's first partner of a row leaves it.
+    blocks, and only each block pair's first partner of a row leaves it. A vector is sent once for each block, as it is stored;
+    their number is BLOCKS until a block would hold more than BLOCK_BYTES, so what is sent grows with the rows, not their square.
     """
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    kind = vectors.schema[vector].dataType.elementType.simpleString()
+    stored = kind if kind in ("float", "double") else "double"
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{stored}>").alias("v"))
     rows = rows.where(F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))).withColumn("d", F.size("v"))
-    sizes = {r.d: max(1, -(-r.n // block)) for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per length
+    sizes = {r.d: -(-r.n // block) if block else blocks_for(r.n, r.d, 4 if stored == "float" else 8) for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per length
     if not sizes:
         return rows.select(F.col("id").alias("left"), F.col("id").alias("right"), F.lit(0.0).alias("similarity"))
     blocks = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("d"))
@@ -53,20 +65,22 @@ def first_near(vectors: DataFrame, threshold: float, key: str = "seq", vector: s
     def compare(key_: tuple, table: pa.Table) -> pa.Table:
         width, p, q = (x.as_py() for x in key_)
         ids, own = table.column("id").to_numpy(), table.column("b").to_numpy()
-        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
         by = np.argsort(ids, kind="stable")
         ids, own, x = ids[by], own[by], x[by]
-        out = []
-        for at in range(0, len(ids), 512):
-            sims = x[at : at + 512] @ x.T
-            hit = (sims >= threshold) & (ids[None, :] < ids[at : at + 512, None])
+        step, out = max(1, STRIP_BYTES // (8 * max(1, len(ids)))), []
+        for at in range(0, len(ids), step):
+            earlier = np.searchsorted(ids, ids[min(at + step, len(ids)) - 1])  # later ones are nobody's first partner
+            sims = x[at : at + step] @ x[:earlier].T
+            hit = (sims >= threshold) & (ids[None, :earlier] < ids[at : at + step, None])
             if p != q:
-                hit &= own[None, :] != own[at : at + 512, None]
+                hit &= own[None, :earlier] != own[at : at + step, None]
             some = np.flatnonzero(hit.any(1))
-            first = hit[some].argmax(1)
-            out += zip(ids[first].tolist(), ids[at + some].tolist(), sims[some, first].tolist(), strict=True)
-        return pa.table({"left": pa.array([o[0] for o in out], pa.int64()), "right": pa.array([o[1] for o in out], pa.int64()), "similarity": pa.array([o[2] for o in out], pa.float64())})
+            first = hit[some].argmax(1) if earlier else some
+            out += [(ids[first], ids[at + some], sims[some, first])] if len(some) else []
+        left, right, near = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (ids[:0], ids[:0], np.zeros(0))
+        return pa.table({"left": left, "right": right, "similarity": near})
 
     found = meeting.groupBy("d", "p", "q").applyInArrow(compare, "left long, right long, similarity double")
     first = found.groupBy("right").agg(F.min(F.struct("left", "similarity")).alias("f"))
