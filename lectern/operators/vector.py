@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Documents that are embedded together.
+EMBED_ROWS = 256
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -88,24 +92,30 @@ def first_near(vectors: DataFrame, threshold: float, key: str = "seq", vector: s
 
 
 def hashed_embeddings(docs: DataFrame, dimension: int = 256, text: str = "text") -> DataFrame:
-    """docs with ``embedding``: a deterministic, offline embedding (signed hashing of words, unit length)."""
+    """docs with ``embedding``: a deterministic, offline embedding (signed hashing of words, unit length).
+
+    A task's Python holds one document's words beside an Arrow batch of all documents' words as plain texts.
+    """
     from ..functions.text import tokenize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
         for b in batches:
-            out = []
-            for words in b.column(b.num_columns - 1).to_pylist():
-                v = np.zeros(dimension, np.float32)
-                for w in words:
-                    h = zlib.crc32(w.encode())
-                    v[h % dimension] += 1 if h >> 31 else -1
-                n = np.linalg.norm(v)
-                out.append(v / n if n else v)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x.tolist() for x in out], pa.list_(pa.float32()))], schema=pa.schema([*[f for f in b.schema][:-1], pa.field("embedding", pa.list_(pa.float32()))]))
+            for at in range(0, b.num_rows, EMBED_ROWS):
+                part = b.slice(at, EMBED_ROWS)
+                out = np.zeros((part.num_rows, dimension), np.float32)
+                for v, words in zip(out, part.column(part.num_columns - 1), strict=True):
+                    for w in words.as_py().split(" ") if len(words.as_py()) else ():
+                        h = zlib.crc32(w.encode())
+                        v[h % dimension] += 1 if h >> 31 else -1
+                    n = np.linalg.norm(v)
+                    v /= n if n else 1
+                offsets = pa.array(np.arange(0, out.size + 1, dimension, dtype=np.int32))
+                made = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], schema=pa.schema([*[f for f in b.schema][:-1], pa.field("embedding", pa.list_(pa.float32()))]))
 
     from pyspark.sql import types as T
 
     schema = T.StructType([*docs.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
-    return docs.withColumn("__tokens", tokenize(F.col(text))).mapInArrow(run, schema)
+    return docs.withColumn("__tokens", F.array_join(tokenize(F.col(text)), " ")).mapInArrow(run, schema)
