@@ -105,8 +105,44 @@ def paged(pages: list[str]) -> str:
     return "\n\n".join(f"[Page {k}]\n{p.strip()}" for k, p in enumerate(pages, 1) if p.strip())
 
 
+def _ends(spark: SparkSession, path: str) -> tuple[str, str]:
+    """The first two and the last four characters of a file, where they are plain."""
+    fs, place = _path(spark, path)
+    size = fs.getFileStatus(place).getLen()
+    file = fs.open(place)
+    try:
+        head = [file.read() for _ in range(min(2, size))]
+        file.seek(max(0, size - 4))
+        return "".join(map(chr, head)), "".join(chr(file.read()) for _ in range(min(4, size)))
+    finally:
+        file.close()
+
+
+def _by_lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """The members of a JSON object as ``save_metadata`` lays it out, a line each, read in parallel; None for any other file."""
+    head, tail = _ends(spark, path)
+    if head != "{\n" or tail[1:] != "\n}\n" or tail[0] == ",":
+        return None
+    line = F.rtrim("value")
+    rows = spark.read.text(path).where(~F.col("value").isin("{", "}"))
+    rows = rows.select(F.try_parse_json(F.concat(F.lit("{"), F.regexp_replace(line, ",$", ""), F.lit("}"))).alias("v"), F.when(~F.endswith(line, F.lit(",")), 1).alias("last"))
+    found = rows.agg(F.count("last").alias("last"), F.count_if(F.col("v").isNull()).alias("bad")).first()
+    braces = spark.read.text(path).where(F.col("value").isin("{", "}")).limit(3).count()
+    if found.last != 1 or found.bad or braces != 2:
+        return None
+    rows.createOrReplaceTempView("lectern_metadata_lines")
+    members = spark.sql("SELECT e.key AS meta_key, e.value AS value FROM lectern_metadata_lines, LATERAL variant_explode(v) AS e")
+    return members if members.groupBy("meta_key").count().where("count > 1").isEmpty() else None
+
+
 def metadata_json(spark: SparkSession, path: str) -> DataFrame:
-    """meta_key, value (variant): the members of a JSON object; an error for anything else."""
+    """meta_key, value (variant): the members of a JSON object; an error for anything else.
+
+    A file with a member on each line is read by lines; a file of another layout is one value, which Spark bounds in size.
+    """
+    found = _by_lines(spark, path)
+    if found is not None:
+        return found
     raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     if raw.where(F.schema_of_variant("v").startswith("OBJECT")).isEmpty():
         raise ValueError(f"{path} must hold a JSON object")
@@ -139,18 +175,24 @@ def metadata_key(files: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def save_metadata(rows: DataFrame, path: str) -> None:
-    """rows (meta_key, entry as JSON) as one JSON object in a file, written row by row."""
-    spark = rows.sparkSession
+    """rows (meta_key, entry as JSON), which must be written ones, as one JSON object in a file with a line each.
+
+    One task sorts and writes it, as it is one file; no row goes to the driver.
+    """
+    spark, n = rows.sparkSession, rows.count()
     fs, place = _path(spark, path)
     part = place.suffix(".part")
-    out = spark._jvm.java.io.OutputStreamWriter(fs.create(part, True), "UTF-8")
-    out.write("{")
-    for k, r in enumerate(rows.orderBy("meta_key").toLocalIterator()):
-        out.write(("," if k else "") + "\n  " + json.dumps(r.meta_key, ensure_ascii=False) + ": " + r.entry)
-    out.write("\n}\n")
-    out.close()
+    if n:
+        name = F.to_json(F.array("meta_key"))
+        at = F.monotonically_increasing_id()  # of a single partition: the row's place
+        line = F.concat(F.when(at == 0, "{\n").otherwise(""), F.lit("  "), F.substring(name, F.lit(2), F.length(name) - 2), F.lit(": "), "entry", F.when(at == n - 1, "\n}").otherwise(","))
+        rows.repartition(1).sortWithinPartitions("meta_key").select(line.alias("value")).write.mode("overwrite").text(part.toString())
+    else:
+        spark.range(1).coalesce(1).select(F.lit("{\n}")).write.mode("overwrite").text(part.toString())
+    made = next(s.getPath() for s in fs.listStatus(part) if s.getPath().getName().startswith("part-"))
     fs.delete(place, False)
-    fs.rename(part, place)
+    fs.rename(made, place)
+    fs.delete(part, True)
 
 
 def failures(spark: SparkSession, path: str) -> DataFrame:
